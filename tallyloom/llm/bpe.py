@@ -208,15 +208,21 @@ def _load(file: str) -> str:
         return f.read()
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _encoder(spec) -> Encoder:
+def _encoder(key: str, spec) -> Encoder:
     """One encoder for each Python worker and tokenizer, kept between tasks."""
-    if spec.id not in _encoders:
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[spec.id] = Encoder(spec.value)
-    return _encoders[spec.id]
+        _encoders[key] = Encoder(spec.value)
+    return _encoders[key]
+
+
+def _shared(df: DataFrame, file: str) -> tuple:
+    """A key and the broadcast content of a tokenizer file (a vocabulary, of fixed size)."""
+    content = _load(file)
+    return hashlib.sha256(content.encode()).hexdigest(), df.sparkSession.sparkContext.broadcast(content)
 
 
 def encode(docs: DataFrame, file: str) -> DataFrame:
@@ -225,10 +231,10 @@ def encode(docs: DataFrame, file: str) -> DataFrame:
     file: path of a byte-level BPE tokenizer in JSON, read by the driver and broadcast (a vocabulary is of fixed size).
     Empty text has no ids. Only doc_id and text are read; repeated rows and null ids are kept as they are.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(_load(file))
+    shared = _shared(docs, file)
 
     def run(batches):
-        encoder = _encoder(spec)
+        encoder = _encoder(*shared)
         for batch in batches:
             for part in slices(batch):
                 ids = [None if t is None else encoder.encode(t) for t in part.column("text").to_pylist()]
@@ -239,10 +245,10 @@ def encode(docs: DataFrame, file: str) -> DataFrame:
 
 def decode(encoded: DataFrame, file: str) -> DataFrame:
     """One row for each row of encoded (doc_id, ids): doc_id and text; null ids give null, unknown ids nothing."""
-    spec = encoded.sparkSession.sparkContext.broadcast(_load(file))
+    shared = _shared(encoded, file)
 
     def run(batches):
-        decoder = Decoder(_encoder(spec).merges)
+        decoder = Decoder(_encoder(*shared).merges)
         for batch in batches:
             for ids, i in zip(batch.column("ids"), batch.column("doc_id"), strict=True):
                 text = None if not ids.is_valid else "".join(decoder.decode(x for x in ids.as_py() if x is not None))
@@ -260,10 +266,10 @@ def round_trip(docs: DataFrame, file: str) -> DataFrame:
 
     The ids are decoded again from their numbers. Neither ids nor text leave the task.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(_load(file))
+    shared = _shared(docs, file)
 
     def run(batches):
-        encoder = _encoder(spec)
+        encoder = _encoder(*shared)
         for batch in batches:
             for part in slices(batch):
                 found = [digest(encoder, t or "") for t in part.column("text").to_pylist()]

@@ -30,9 +30,17 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find, train
+
+    docs = table(spark, sf_dir, "documents")
+    return find(docs, train(docs))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
+    "op3_pii": op3_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
