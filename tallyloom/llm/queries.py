@@ -37,10 +37,25 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(docs, train(docs))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
     "op3_pii": op3_pii,
+    "op5_toxicity": op5_toxicity,
+    "op6_html_text": op6_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}
