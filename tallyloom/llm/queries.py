@@ -50,6 +50,18 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import find
+
+    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import find
+
+    return find(table(spark, sf_dir, "documents")).drop("cuts")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
@@ -62,6 +74,8 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op5_toxicity": op5_toxicity,
     "op6_html_text": op6_html_text,
+    "op8_decontamination": op8_decontamination,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_licenses": op10_licenses,
 }
 
