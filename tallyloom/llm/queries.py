@@ -37,6 +37,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(docs, train(docs))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score, train
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
     "op3_pii": op3_pii,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_toxicity": op5_toxicity,
     "op6_html_text": op6_html_text,
     "op8_decontamination": op8_decontamination,
