@@ -188,8 +188,11 @@ class Decoder:
             yield text
 
 
-def digest(encoder: Encoder, text: str) -> tuple[int, str, str]:
-    """Number of ids, SHA-256 of the ids joined by commas and of the decoded text, a block of ids at a time."""
+def digest(encoder: Encoder, text: str, keep: list[int] | None = None) -> tuple[int, str, str]:
+    """Number of ids, SHA-256 of the ids joined by commas and of the decoded text, a block of ids at a time.
+
+    keep: a list that the ids are added to.
+    """
     count, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
     state = codecs.getincrementaldecoder("utf-8")("replace")
     spell = encoder.merges.bytes.__getitem__
@@ -198,6 +201,8 @@ def digest(encoder: Encoder, text: str) -> tuple[int, str, str]:
         ids = list(chain.from_iterable([b[1] for b in block]))
         ids_hash.update(("," + joined if count else joined).encode())
         count += len(ids)
+        if keep is not None:
+            keep += ids
         text_hash.update(state.decode(b"".join(map(spell, ids))).encode())
     text_hash.update(state.decode(b"", True).encode())
     return count, ids_hash.hexdigest(), text_hash.hexdigest()
@@ -277,3 +282,23 @@ def round_trip(docs: DataFrame, file: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenize(docs: DataFrame, file: str) -> DataFrame:
+    """One row for each row of docs: doc_id, n_tokens, ids, whole (the decoded ids are the text again); null text is empty."""
+    shared = _shared(docs, file)
+
+    def run(batches):
+        encoder = _encoder(*shared)
+        for batch in batches:
+            for part in slices(batch):
+                ids, n, whole = [], [], []
+                for t in part.column("text").to_pylist():
+                    kept: list[int] = []
+                    count, _, decoded = digest(encoder, t or "", kept)
+                    ids.append(kept)
+                    n.append(count)
+                    whole.append(decoded == hashlib.sha256((t or "").encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(whole)], ["doc_id", "n_tokens", "ids", "whole"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, whole boolean")

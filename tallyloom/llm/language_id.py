@@ -101,6 +101,22 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[list[
     return langs, model.astype(np.float32)
 
 
+def _predict(text: pa.Array, langs: list[str], model: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and posterior of each text, and whether it has a letter: the sparse rows of n-gram counts times the matrix."""
+    bucket, at, has = ngrams(text)
+    n, best, post = len(text), np.zeros(len(text), int), np.zeros(len(text))
+    if langs:
+        sums = np.tile(model[-1].astype(float), (n, 1))
+        full = np.flatnonzero(np.diff(at))
+        if len(full):
+            for j in range(len(langs)):
+                sums[full, j] += np.add.reduceat(model[bucket, j], at[full], dtype=np.float64)
+        best = sums.argmax(1)
+        post = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
+    known = has & bool(langs)
+    return [langs[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, post, 0.0), has
+
+
 def detect(docs: DataFrame, langs: list[str], model: np.ndarray, held_out_mod: int = 4, held_out_rest: int = 2) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, lang_pred, score.
 
@@ -114,22 +130,12 @@ def detect(docs: DataFrame, langs: list[str], model: np.ndarray, held_out_mod: i
         langs, model = shared.value
         for batch in batches:
             for part in slices(batch, most=_SLICE):
-                bucket, at, has = ngrams(part.column("text"))
-                n, best, post = part.num_rows, np.zeros(part.num_rows, int), np.zeros(part.num_rows)
-                if langs:
-                    sums = np.tile(model[-1].astype(float), (n, 1))
-                    full = np.flatnonzero(np.diff(at))
-                    if len(full):
-                        for j in range(len(langs)):
-                            sums[full, j] += np.add.reduceat(model[bucket, j], at[full], dtype=np.float64)
-                    best = sums.argmax(1)
-                    post = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
-                known = has & bool(langs)
+                named, post, _ = _predict(part.column("text"), langs, model)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"),
                     "held_out": pa.array(crc_fold(part.column("doc_id"), held_out_mod) == held_out_rest),
-                    "lang_pred": pa.array([langs[b] if k else "und" for b, k in zip(best, known, strict=True)], pa.string()),
-                    "score": pa.array(np.where(known, post, 0.0)),
+                    "lang_pred": pa.array(named, pa.string()),
+                    "score": pa.array(post),
                 })
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -144,3 +150,26 @@ def identify(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
     """Fit on the rows of docs outside the held-out fold, then predict every row."""
     langs, model = train(docs.where(in_training()), max_rows)
     return detect(docs, langs, model)
+
+
+def keep_identified(docs: DataFrame, langs: list[str], model: np.ndarray, least_score: float = 0.5) -> DataFrame:
+    """The rows of docs whose language is told with a score of `least_score` or more, with all columns; a null lang is filled.
+
+    Rows of null text, without a letter, or of a lower score go. Without languages to tell (nothing was learned), only texts
+    without a letter go.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((langs, model))
+
+    def run(batches):
+        langs, model = shared.value
+        for batch in batches:
+            for part in slices(batch, most=_SLICE):
+                named, post, has = _predict(part.column("text"), langs, model)
+                keep = has & (post >= least_score) if langs else has
+                out = part
+                if langs and "lang" in part.schema.names and part.column("lang").null_count:
+                    at = part.schema.get_field_index("lang")
+                    out = part.set_column(at, part.schema.field(at), pa.array([a if a is not None else b for a, b in zip(part.column("lang").to_pylist(), named, strict=True)], part.schema.field(at).type))
+                yield out.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

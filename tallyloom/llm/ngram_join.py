@@ -285,3 +285,20 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = components(links(docs, surveyed, percent).unionByName(copies))
     out = rows.join(found, rows["doc_id"] == found["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that stand for their component: those of its smallest id, with all columns.
+
+    Of several rows of one id the smallest by its columns stays. Rows of null id, without text or without words stay.
+    """
+    found, _ = written(classes(docs, percent))
+    gone, _ = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    match = docs["doc_id"].cast("long") == F.col("_gone")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, match, "left_anti")
+    again, _ = written(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    if not again.limit(1).count():
+        return kept
+    match = F.col("doc_id").cast("long") == F.col("_again")
+    single = kept.join(again, match, "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.join(again, match, "left_anti").unionByName(single)

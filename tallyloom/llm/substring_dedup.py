@@ -10,6 +10,7 @@ shared chunks of at least `min_words` words are repeated passages.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,8 +115,6 @@ def cut(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
     passages: what find() gave for docs. Meant for docs with one row for each id.
     """
-    import pandas as pd
-
     spans = passages.where(F.size("cuts") > 0).groupBy(F.col("doc_id").alias("_cut_id")).agg(F.flatten(F.collect_list("cuts")).alias("_cuts"))
 
     @F.pandas_udf("string")
