@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .graph import components, delete, written
 from .kernel import Words, shingles, slices
@@ -251,17 +252,20 @@ def links(docs: DataFrame, surveyed: DataFrame, percent: int = PERCENT) -> DataF
         found, _ = written(found.unionByName(counted(docs, lost, percent)))
         labels, _ = written(components(found))
 
-    # columns that still hold different components: pairs that have not been counted, and enough overlap for their sizes
+    # columns that still hold different components. Up to the end of the prefix that ends first all shared columns of a pair are
+    # known, and past it there are no more than the rest of that row, so a pair that links shares `least` of the columns left
+    # here. Put in one order, fewest entries first, the first that it shares has least - 1 of each row's columns after it.
     labelled = _labelled(entries, labels)
-    mixed = labelled.groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("column")
-    rest, rest_path = written(labelled.join(mixed, "column"))
-    left, right = (rest.select("column", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "component")]) for s in ("a", "b"))
-    pairs = left.join(right, "column").where((F.col("doc_id_a") > F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b"))).where(sizes(F.col("n_a"), F.col("n_b")))
-    pairs = pairs.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("together"))
-    # up to the end of the prefix that ends first all shared columns have been counted; past it, no more than the rest of that row
+    mixed = labelled.groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("entries")).where("low < high").select("column", "entries")
+    own = Window.partitionBy("doc_id")
+    rest = labelled.join(mixed, "column").withColumn("after", F.count("*").over(own) - F.row_number().over(own.orderBy("entries", "column")))
+    rest, rest_path = written(rest)
+    left, right = (rest.select("column", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "component", "after")]) for s in ("a", "b"))
     past = lambda n: F.ceil(F.lit(percent) * F.col(n) / 100) - 1
-    bound = F.col("together") + F.greatest(past("n_a"), past("n_b"))
-    pairs = pairs.where(bound * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b").join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    least = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100.0 + percent) - 1e-9) - F.greatest(past("n_a"), past("n_b"))
+    pairs = left.join(right, "column").where((F.col("doc_id_a") > F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b"))).where(sizes(F.col("n_a"), F.col("n_b")))
+    pairs = pairs.where(F.least("after_a", "after_b") >= least - 1)
+    pairs = pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
     pairs, pairs_path = written(pairs)
     if pairs.limit(1).count():
         found, _ = written(found.unionByName(counted(docs, pairs, percent)))
