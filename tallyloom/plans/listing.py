@@ -263,7 +263,7 @@ def evidence_check(spark, sf):
 
 @query("""WITH u AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 c AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS r FROM u WHERE n <= 2),
-t AS (SELECT max(ts) AS ts FROM c WHERE r <= 40)
+t AS (SELECT CASE WHEN count(*) = 40 THEN max(ts) END AS ts FROM c WHERE r <= 40)
 SELECT event_id, CASE WHEN u.ts > t.ts OR n > 2 THEN 'queued' ELSE 'admitted' END AS state, CASE WHEN u.ts > t.ts THEN 'global' WHEN n > 2 THEN 'per-user' END AS queue_reason FROM u, t""")
 def admission_fold(spark, sf):
     return folds.admitted(table(spark, sf, "events"), "user_id", ["ts", "event_id"], 40, 2).select("event_id", "state", "queue_reason")

@@ -14,6 +14,5 @@ def rendered(metrics: DataFrame) -> DataFrame:
 
 def gauges(lines: DataFrame, prefix: str) -> DataFrame:
     """name and value of gauge lines that begin with the prefix: the value is the last token if it is a number."""
-    row = lines.where(F.col("value").startswith(prefix))
-    number = F.regexp_extract("value", r"(\S+)\s*$", 1)
-    return row.select(F.regexp_extract("value", r"^([A-Za-z_:][A-Za-z0-9_:]*)", 1).alias("name"), F.expr("try_cast(regexp_extract(value, '(\\\\S+)\\\\s*$', 1) AS double)").alias("value")).where(number != "")
+    row = lines.where(F.col("value").startswith(prefix)).withColumn("_last", F.regexp_extract("value", r"(\S+)\s*$", 1)).where("_last <> ''")
+    return row.select(F.regexp_extract("value", r"^([A-Za-z_:][A-Za-z0-9_:]*)", 1).alias("name"), F.expr("try_cast(_last AS double)").alias("value"))
