@@ -1,14 +1,13 @@
 """Licence scan by a positional rare-token index, in DataFrame functions only.
 
 The index holds, for each template, where its words stand. Document frequencies of all template words are counted over all
-texts; of each template the words of highest inverse document frequency are looked up in a text, and a posting (word at
-place p of the text, place q of a template) votes for the template beginning at p - q. Where enough different rare words
-agree on one beginning and the template's mandatory phrase occurs in the text, the template's label is found.
+texts; of the template words in a text, those of highest inverse document frequency are looked up, and a posting (word at
+place p of the text, place q of a template) votes for the template beginning at p - q. Where enough different words agree on
+one beginning and the template's mandatory phrase occurs in the text, the template's label is found.
 """
 
 from __future__ import annotations
 
-import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -30,8 +29,10 @@ TEMPLATES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
 )
-#: Words of highest inverse document frequency that are looked up for each template, and the share that must agree.
-RARE_WORDS = 4
+#: Words of highest inverse document frequency that are looked up for each text; words that must agree on a beginning (fewer
+#: if a template has fewer different ones), and the share of a template's words among those looked up that must.
+LOOKED_UP = 16
+LEAST_AGREEING = 3
 AGREEING = 0.75
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -71,39 +72,36 @@ def words_of(docs: DataFrame) -> DataFrame:
     return rows.withColumn("words", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)))
 
 
-def rare_words(words: DataFrame) -> dict[int, list[tuple[str, int]]]:
-    """For each template, its rarest words over all texts with their places; ties go to the first by name."""
+def by_rarity(words: DataFrame) -> list[str]:
+    """The template words that occur in any text, rarest first; ties go to the first by name."""
     vocabulary = sorted({w for _, t, _ in TEMPLATES for w in t.split()})
     seen = words.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, vocabulary)))).alias("word"))
     count = {r["word"]: r["n"] for r in seen.groupBy("word").agg(F.count("*").alias("n")).collect()}  # one row for each template word
-    out = {}
-    for k, (_, text, _) in enumerate(TEMPLATES):
-        chosen = sorted(set(text.split()), key=lambda w: (count.get(w, 0), w))[:RARE_WORDS]
-        out[k] = [(w, i) for i, w in enumerate(text.split()) if w in chosen]
-    return out
+    return sorted(count, key=lambda w: (count[w], w))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base, first_word and last_word tell of all places of the base phrases; base_labels and labels are distinct, sorted and
-    joined by commas. score is 1 with a base phrase, else the best share of a found template's rare words that agree on one
-    beginning, else 0. Null and empty texts have no words. Repeated rows and null ids are kept; only doc_id and text are
+    joined by commas. score is 1 with a base phrase, else the best share of a found template's looked-up words that agree on
+    one beginning, else 0. Null and empty texts have no words. Repeated rows and null ids are kept; only doc_id and text are
     read.
     """
     words = words_of(docs)
-    rare = rare_words(words)
-    need = {k: math.ceil(AGREEING * len({w for w, _ in postings})) for k, postings in rare.items()}
-    lookup = sorted({w for p in rare.values() for w, _ in p})
+    rarity = F.array(*map(F.lit, by_rarity(words))).cast("array<string>")
+    rows = words.withColumn("rare", F.slice(F.array_intersect(rarity, "words"), 1, LOOKED_UP))
 
     empty = F.array().cast("array<int>")
-    rows = words
     for phrase in PHRASES:
         rows = rows.withColumn(PHRASES[phrase], F.when(has_phrase(F.col("low"), phrase), places(F.col("words"), phrase)).otherwise(empty))
-    template = lambda k: F.struct(F.lit(k).alias("template"), F.array(*[F.struct(F.lit(w).alias("word"), F.lit(q).alias("q")) for w, q in rare[k]]).alias("postings"))
+    distinct = lambda k: sorted(set(TEMPLATES[k][1].split()))
+    postings = lambda k: F.array(*[F.struct(F.lit(w).alias("word"), F.lit(q).alias("q")) for q, w in enumerate(TEMPLATES[k][1].split())])
+    held = lambda k: F.size(F.array_intersect("rare", F.array(*map(F.lit, distinct(k)))))
+    template = lambda k: F.struct(F.lit(k).alias("template"), held(k).alias("held"), postings(k).alias("postings"))
     open_ = F.filter(F.array(*[F.when(has_phrase(F.col("low"), phrase), template(k)) for k, (_, _, phrase) in enumerate(TEMPLATES)]), lambda t: t.isNotNull())
     rows = rows.withColumn("templates", open_)
-    at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("p"))), lambda x: F.array_contains(F.array(*map(F.lit, lookup)), x["word"]))
+    at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("p"))), lambda x: F.array_contains(F.col("rare"), x["word"]))
     every = F.array_sort(F.flatten(F.array(*[F.col(f"`{label}`") for label in PHRASES.values()])))
     rows = rows.select(
         "doc_id", F.xxhash64("low").alias("content"), F.size("words").cast("long").alias("n_words"), F.size(every).cast("long").alias("n_base"),
@@ -114,12 +112,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
     # postings vote; only texts with a mandatory phrase get here, and a key's votes are summed before they are shuffled
     votes = rows.where(F.size("templates") > 0).select("doc_id", "content", F.explode("templates").alias("t"), "hits").select("doc_id", "content", "t", F.explode("hits").alias("hit"))
-    votes = votes.select("doc_id", "content", F.col("t.template").alias("template"), F.col("hit.p").alias("p"), F.explode(F.filter("t.postings", lambda x: x["word"] == F.col("hit.word"))).alias("posting"))
-    votes = votes.groupBy("doc_id", "content", "template", (F.col("p") - F.col("posting.q")).alias("begin")).agg(F.size(F.collect_set("posting.word")).alias("agree"))
-    enough = F.element_at(F.create_map(*[F.lit(x) for k in need for x in (k, need[k])]), F.col("template"))
-    total = F.element_at(F.create_map(*[F.lit(x) for k in rare for x in (k, len({w for w, _ in rare[k]}))]), F.col("template"))
+    votes = votes.select("doc_id", "content", F.col("t.template").alias("template"), F.col("t.held").alias("held"), F.col("hit.p").alias("p"), F.explode(F.filter("t.postings", lambda x: x["word"] == F.col("hit.word"))).alias("posting"))
+    votes = votes.groupBy("doc_id", "content", "template", "held", (F.col("p") - F.col("posting.q")).alias("begin")).agg(F.size(F.collect_set("posting.word")).alias("agree"))
+    enough = F.element_at(F.create_map(*[F.lit(x) for k in range(len(TEMPLATES)) for x in (k, min(LEAST_AGREEING, len(distinct(k))))]), F.col("template"))
     label = F.element_at(F.create_map(*[F.lit(x) for k, t in enumerate(TEMPLATES) for x in (k, t[0])]), F.col("template"))
-    found = votes.where(F.col("agree") >= enough).groupBy("doc_id", "content").agg(F.collect_set(label).alias("method"), F.max(F.col("agree") / total).alias("share"))
+    found = votes.where((F.col("agree") >= enough) & (F.col("agree") >= AGREEING * F.col("held"))).groupBy("doc_id", "content").agg(F.collect_set(label).alias("method"), F.max(F.col("agree") / F.col("held")).alias("share"))
 
     out = rows.drop("templates", "hits").join(found.withColumnsRenamed({"doc_id": "found_id", "content": "found_content"}), F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("content") == F.col("found_content")), "left")
     none = F.array().cast("array<string>")

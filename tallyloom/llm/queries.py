@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Tokenizer file; a parameter of every operator that reads one.
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,7 +66,8 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import find
 
-    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,4 +95,26 @@ QUERIES = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = """w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+n AS (SELECT doc_id, w, CASE WHEN len(w) >= 5 THEN len(w) - 4 WHEN len(w) > 0 THEN 1 ELSE 0 END AS n FROM w),
+p AS (SELECT doc_id, unnest(range(0, n)) AS p, w FROM n), s AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM p)"""
+_REACH = """c AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT a, a FROM l UNION SELECT b, b FROM l), r AS (SELECT a, b FROM c UNION SELECT r.a, c.b FROM r JOIN c ON c.a = r.b)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard": f"""WITH RECURSIVE {_WORDS}, d AS (SELECT DISTINCT doc_id, s FROM s), z AS (SELECT doc_id, count(*) AS z FROM d GROUP BY 1),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM d x JOIN d y ON x.s = y.s AND x.doc_id > y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * o >= 80 * (x.z + y.z - o)), {_REACH}
+SELECT w.doc_id, coalesce(z, 0) AS n_shingles, coalesce((SELECT min(b) FROM r WHERE r.a = w.doc_id), w.doc_id) AS component_id FROM w LEFT JOIN z ON z.doc_id = w.doc_id""",
+    "op7_embedding_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id > y.vec_id AND list_cosine_similarity(x.x, y.x) >= 0.95), {_REACH}, k AS (SELECT a, count(*) FILTER (WHERE a <> b) AS n FROM c GROUP BY 1)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, m AS component_id, e.vec_id = m AS kept FROM (SELECT vec_id, coalesce((SELECT min(b) FROM r WHERE r.a = vec_id), vec_id) AS m FROM embeddings) e LEFT JOIN k ON k.a = e.vec_id""",
+    "op8_decontamination": f"""WITH {_WORDS}, bw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL),
+bn AS (SELECT item_id, w, len(w) AS k, CASE WHEN len(w) >= 5 THEN len(w) - 4 ELSE 1 END AS n FROM bw WHERE len(w) > 0), bp AS (SELECT item_id, k, unnest(range(0, n)) AS q, w FROM bn),
+b AS (SELECT item_id, k, q, array_to_string(w[q + 1:q + 5], ' ') AS s FROM bp), i AS (SELECT count(*) AS i FROM bn), wt AS (SELECT s, ln(1 + (SELECT i FROM i) / count(DISTINCT item_id)) AS wt FROM b GROUP BY s),
+t AS (SELECT item_id, sum(wt) AS total FROM (SELECT DISTINCT item_id, s FROM b) JOIN wt USING (s) GROUP BY 1),
+h AS (SELECT DISTINCT s.doc_id, b.item_id, least(k, len(n.w)) AS k, greatest(0, least(p - q, len(n.w) - k)) AS start FROM s JOIN b ON b.s = s.s JOIN n ON n.doc_id = s.doc_id),
+g AS (SELECT h.doc_id, h.item_id, h.k, start, sum(wt) AS held FROM (SELECT DISTINCT h.doc_id, h.item_id, h.k, start, s.s FROM h JOIN s ON s.doc_id = h.doc_id AND p BETWEEN start AND start + greatest(0, k - 5)
+JOIN b ON b.item_id = h.item_id AND b.s = s.s) h JOIN wt USING (s) GROUP BY ALL),
+x AS (SELECT *, held / total AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(held / total, 9) DESC, start) AS n FROM g JOIN t USING (item_id) WHERE held / total >= 0.8 - 1e-12)
+SELECT doc_id, item_id, start AS first_word, k AS n_words, round(similarity, 6) AS similarity FROM x WHERE n = 1""",
+}

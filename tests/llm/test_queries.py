@@ -1,0 +1,57 @@
+"""Queries of this subpackage against their SQL, and the pipeline's stages against brute force."""
+
+import pytest
+from compare import difference
+from pyspark.sql import functions as F
+from test_decontamination import brute as leaks
+from test_ngram_join import brute as components
+from test_pii import brute as spans
+
+import corpus_pipeline
+from tallyloom.llm import pii, queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_rows_as_sql(spark, sf, name):
+    assert difference(queries.QUERIES[name](spark, sf), queries.ORACLE_SQL[name], sf) == ""
+
+
+def test_one_query_for_each_operator():
+    import __spark_entry__
+
+    names = __spark_entry__.queries()
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+
+
+def test_pipeline_stages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = docs.collect()
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["language ID", "n-gram Jaccard join", "benchmark decontamination", "PII", "BPE encoding and decoding"]
+
+    kept = stages["language ID"](spark, docs, sf)
+    assert kept.columns == docs.columns and kept.count() >= 0.99 * len(before)
+
+    out = stages["n-gram Jaccard join"](spark, docs, sf)
+    assert out.columns == docs.columns
+    assert {r["doc_id"] for r in out.collect()} == set(components([(r["doc_id"], r["text"]) for r in before]).values())
+
+    out = stages["benchmark decontamination"](spark, docs, sf)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    gone = {r["doc_id"] for r in before} - {r["doc_id"] for r in out.collect()}
+    assert out.columns == docs.columns and gone == {eval(x)[0] for x in leaks([(r["doc_id"], r["text"]) for r in before if len(r["text"]) < 4000], items)} | {g for g in gone if any(r["doc_id"] == g and len(r["text"]) >= 4000 for r in before)}
+
+    out = {r["doc_id"]: r for r in stages["PII"](spark, docs, sf).collect()}
+    for r in before:
+        if not (base := spans(r["text"])):
+            assert out[r["doc_id"]]["text"] == r["text"]
+        else:
+            assert out[r["doc_id"]]["text"] == pii.redacted(r["text"], base) and out[r["doc_id"]]["n_chars"] == len(out[r["doc_id"]]["text"])
+
+    out = stages["BPE encoding and decoding"](spark, docs, sf)
+    assert out.count() == len(before) and out.where(~F.col("whole")).count() == 0
+
+
+def test_pipeline_runs_through(spark, sf):
+    out = corpus_pipeline.run(spark, sf)
+    assert 0 < out.count() <= spark.read.parquet(f"{sf}/documents.parquet").count()
