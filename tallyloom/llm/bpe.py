@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import slices
+from .kernel import slices, small_batches
 
 #: Entries kept of the cache from text unit to encoding, and the longest unit (characters) kept.
 CACHE_UNITS = 300_000
@@ -106,7 +106,8 @@ class Merges:
 class Encoder:
     """Texts to ids as text: the tokenizer file's special strings, pretokens, merges."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, cache_units: int = CACHE_UNITS):
+        self.cache_units = cache_units
         spec = json.loads(file)
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.merges = Merges(spec["model"]["vocab"], spec["model"]["merges"], special)
@@ -127,13 +128,13 @@ class Encoder:
             if ids is None:
                 ids = tuple(self.merges.stream(t.encode("utf-8", "replace")))
                 if len(t) <= CACHE_CHARS:
-                    if len(self.words) >= CACHE_UNITS:
+                    if len(self.words) >= self.cache_units:
                         self.words.clear()
                     self.words[t] = ids
             out += ids
         found = (",".join(map(str, out)), tuple(out))
         if len(unit) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_UNITS:
+            if len(self.cache) >= self.cache_units:
                 self.cache.clear()
             self.cache[unit] = found
         return found
@@ -216,11 +217,11 @@ def _load(file: str) -> str:
 _encoders: dict[str, Encoder] = {}
 
 
-def _encoder(key: str, spec) -> Encoder:
+def _encoder(key: str, spec, cache_units: int = CACHE_UNITS) -> Encoder:
     """One encoder for each Python worker and tokenizer, kept between tasks."""
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(spec.value)
+        _encoders[key] = Encoder(spec.value, cache_units)
     return _encoders[key]
 
 
@@ -263,7 +264,7 @@ def decode(encoded: DataFrame, file: str) -> DataFrame:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def round_trip(docs: DataFrame, file: str) -> DataFrame:
@@ -284,12 +285,15 @@ def round_trip(docs: DataFrame, file: str) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def tokenize(docs: DataFrame, file: str) -> DataFrame:
-    """One row for each row of docs: doc_id, n_tokens, ids, whole (the decoded ids are the text again); null text is empty."""
+def tokenize(docs: DataFrame, file: str, cache_units: int = CACHE_UNITS // 2) -> DataFrame:
+    """One row for each row of docs: doc_id, n_tokens, ids, whole (the decoded ids are the text again); null text is empty.
+
+    cache_units bounds what a worker keeps; the ids themselves take memory here.
+    """
     shared = _shared(docs, file)
 
     def run(batches):
-        encoder = _encoder(*shared)
+        encoder = _encoder(*shared, cache_units)
         for batch in batches:
             for part in slices(batch):
                 ids, n, whole = [], [], []

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Words, shingles, slices
+from .kernel import Words, shingles, slices, small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -158,7 +158,7 @@ def find(docs: DataFrame, benchmark: DataFrame, max_block_chars: int = MAX_BLOCK
     """
     schema = "doc_id long, item_id long, first_word long, n_words long, similarity double"
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for items in _blocks(benchmark, max_block_chars):
         shared = spark.sparkContext.broadcast(items)
@@ -188,5 +188,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_block_chars: int = MAX_BLOC
                     keep[[m[0] for m in shared.value.matches(part.column("text"))]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, delete, written
+from .kernel import small_batches
 
 COSINE = 0.95
 MARGIN_SIGMAS = 4.0
@@ -116,7 +117,7 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def _valid(vectors: DataFrame) -> DataFrame:
     """vec_id, x (array of double), dimension of the vectors that can link."""
-    x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
+    x = small_batches(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     return x.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).where(finite & F.exists("x", lambda v: v != 0)).withColumn("dimension", F.size("x"))
 

@@ -8,10 +8,12 @@ A-Z happens in ``T``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text that are hashed together; one longer text makes a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -52,6 +54,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Bytes of an Arrow batch that goes to a Python worker. Both sides hold a batch whole, and what comes of it.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session's Arrow batches are limited to BATCH_BYTES from now on, unless they are smaller already."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)\s*([kmg]?)b?", conf.get(key).strip().lower())
+    if not now or int(now[1]) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[now[2]] > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have at most `most` bytes together, one row at least."""
     if not batch.num_rows:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import crc_fold, slices
+from .kernel import crc_fold, slices, small_batches
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -70,7 +70,7 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[list[
     labelled: doc_id, text, lang. Rows without text or lang don't count. Above `max_rows` rows, those are taken whose
     hashed id falls below a bound that leaves about `max_rows`. No labelled row: no languages.
     """
-    rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    rows = small_batches(labelled).where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     total = rows.count()
     if total > max_rows:
         rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) < int((1 << 20) * max_rows / total))
@@ -138,7 +138,7 @@ def detect(docs: DataFrame, langs: list[str], model: np.ndarray, held_out_mod: i
                     "score": pa.array(post),
                 })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def in_training(doc_id="doc_id", mod: int = 4, rest: int = 2):
@@ -172,4 +172,4 @@ def keep_identified(docs: DataFrame, langs: list[str], model: np.ndarray, least_
                     out = part.set_column(at, part.schema.field(at), pa.array([a if a is not None else b for a, b in zip(part.column("lang").to_pylist(), named, strict=True)], part.schema.field(at).type))
                 yield out.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

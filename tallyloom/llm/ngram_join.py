@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components, delete, written
-from .kernel import Words, shingles, slices
+from .kernel import Words, shingles, slices, small_batches
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -48,7 +48,7 @@ def required(n: np.ndarray | int, percent: int = PERCENT):
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def survey(docs: DataFrame) -> tuple[DataFrame, str]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Words, crc_fold, mix, slices
+from .kernel import Words, crc_fold, mix, slices, small_batches
 
 BUCKETS = 1 << 20
 #: Beginnings of words, in bytes, that are features besides the whole word.
@@ -90,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5
                     out_y.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(out_y, pa.int32()), pa.array(out_sizes, pa.list_(pa.int32())), pa.array(out_feats, pa.list_(pa.int32()))], ["y", "sizes", "feats"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     found = rows.join(F.broadcast(sample), "doc_id").select("text", "y").mapInArrow(run, "y int, sizes array<int>, feats array<int>").toArrow()  # at most about 2 * max_rows texts
     parts = {c: [x.values.to_numpy() for x in found[c]] for c in ("sizes", "feats")}
     bags = sorted((y, len(f), int(f[:50].sum()), i) for i, (y, f) in enumerate(zip(found["y"].to_pylist(), parts["feats"], strict=True)) if len(f))  # one order whatever the partitions were
@@ -164,6 +164,6 @@ def score(docs: DataFrame, weights: np.ndarray | None, mod: int = 5, rest: int =
                     ["doc_id", "held_out", "score", "predicted", "offending"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, held_out boolean, score double, predicted int, offending array<struct<start: long, end: long, score: double>>"
     )
