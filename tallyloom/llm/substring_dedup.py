@@ -2,7 +2,8 @@
 
 A gear hash rolls over the last WINDOW bytes; where it falls below a bound, and did not within the last LEAST bytes, a chunk
 ends. Whether a chunk ends at a byte depends on the WINDOW + LEAST bytes before it alone, so an insertion moves no other
-boundary, and equal passages have equal chunks but for what is cut at their ends. Chunks are compared by a 64-bit digest.
+boundary, and equal passages have equal chunks but for what is cut at their ends. A chunk of more than LONG bytes (a word over and over has few
+hashes or none below the bound) is cut again where the hash is least within REACH bytes to both sides. Chunks are compared by a 64-bit digest.
 A digest that occurs in two documents or more is shared; the document of the smallest id keeps it. Runs of successive
 shared chunks of at least `min_words` words are repeated passages.
 """
@@ -16,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .kernel import WHITE, buffers, mix, powers, slices
+from .kernel import WHITE, buffers, mix, powers, slices, small_batches
 
 WINDOW = 16
-LEAST = 10
+LEAST = 9
 #: A chunk ends at about one in so many bytes that are far enough from the last.
 MEAN_GAP = 20
-MIN_WORDS = 13
+LONG, REACH = 200, 24
+MIN_WORDS = 20
 _GEAR = np.random.default_rng(77).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _TABLE = np.random.default_rng(78).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -37,6 +39,16 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h * np.uint32(0x9E3779B1)
 
 
+def least_places(h: np.ndarray) -> np.ndarray:
+    """Places whose value is the least within REACH to both sides; equal ones count each."""
+    low, width = np.pad(h, REACH, constant_values=np.iinfo(h.dtype).max), 1
+    while width < 2 * REACH + 1:  # the least of the 2 * REACH + 1 values from each place on, by doubling
+        step = min(width, 2 * REACH + 1 - width)
+        low = np.minimum(low[: len(low) - step], low[step:])
+        width += step
+    return np.flatnonzero(h == low[: len(h)])
+
+
 def chunks(text: pa.Array) -> tuple[np.ndarray, ...]:
     """Row, place in the row, start and end (code points), words and digest of each chunk of a string column.
 
@@ -46,7 +58,8 @@ def chunks(text: pa.Array) -> tuple[np.ndarray, ...]:
     n = len(data)
     if not n:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
-    low = np.flatnonzero(gear(data) < np.uint32((1 << 32) // MEAN_GAP)) + 1  # a chunk may end before byte `low`
+    h = gear(data)
+    low = np.flatnonzero(h < np.uint32((1 << 32) // MEAN_GAP)) + 1  # a chunk may end before byte `low`
     row = np.searchsorted(ends, low, "left") - 1
     low = low[low - ends[row] >= WINDOW]  # a window that reaches into the row before says nothing
     low = low[(low < n)]
@@ -54,6 +67,10 @@ def chunks(text: pa.Array) -> tuple[np.ndarray, ...]:
     far = np.ones(len(low), bool)
     far[1:] = np.diff(low) > LEAST
     cut = np.unique(np.concatenate((low[far], ends)))
+    more = [a + WINDOW + least_places(h[a + WINDOW : b]) + 1 for a, b in zip(cut[:-1], cut[1:], strict=True) if b - a > LONG] if np.diff(cut).max() > LONG else []
+    if more:
+        more = np.concatenate(more)
+        cut = np.unique(np.concatenate((cut, more[(more < n) & ((data[np.minimum(more, n - 1)] & 0xC0) != 0x80)])))
     start, end = cut[:-1], cut[1:]
     row = np.searchsorted(ends, start, "right") - 1
     up, down = powers(n)
@@ -83,7 +100,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                     place, start, end, words, digest = rest
                     yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(a.astype(np.int32)) for a in (place, start, end, words)], pa.array(digest)], ["doc_id", "place", "start", "end", "n_words", "digest"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     return rows.mapInArrow(run, "doc_id long, place int, start int, end int, n_words int, digest long")
 
 
