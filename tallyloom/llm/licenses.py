@@ -90,35 +90,37 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     words = words_of(docs)
     rarity = F.array(*map(F.lit, by_rarity(words))).cast("array<string>")
-    rows = words.withColumn("rare", F.slice(F.array_intersect(rarity, "words"), 1, LOOKED_UP))
 
-    empty = F.array().cast("array<int>")
+    rows, empty = words, F.array().cast("array<int>")
     for phrase in PHRASES:
         rows = rows.withColumn(PHRASES[phrase], F.when(has_phrase(F.col("low"), phrase), places(F.col("words"), phrase)).otherwise(empty))
-    distinct = lambda k: sorted(set(TEMPLATES[k][1].split()))
-    postings = lambda k: F.array(*[F.struct(F.lit(w).alias("word"), F.lit(q).alias("q")) for q, w in enumerate(TEMPLATES[k][1].split())])
-    held = lambda k: F.size(F.array_intersect("rare", F.array(*map(F.lit, distinct(k)))))
-    template = lambda k: F.struct(F.lit(k).alias("template"), held(k).alias("held"), postings(k).alias("postings"))
-    open_ = F.filter(F.array(*[F.when(has_phrase(F.col("low"), phrase), template(k)) for k, (_, _, phrase) in enumerate(TEMPLATES)]), lambda t: t.isNotNull())
-    rows = rows.withColumn("templates", open_)
-    at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("p"))), lambda x: F.array_contains(F.col("rare"), x["word"]))
     every = F.array_sort(F.flatten(F.array(*[F.col(f"`{label}`") for label in PHRASES.values()])))
     rows = rows.select(
         "doc_id", F.xxhash64("low").alias("content"), F.size("words").cast("long").alias("n_words"), F.size(every).cast("long").alias("n_base"),
         F.get(every, F.lit(0)).cast("long").alias("first_word"), F.try_element_at(every, F.lit(-1)).cast("long").alias("last_word"),
         F.array_compact(F.array(*[F.when(F.size(F.col(f"`{label}`")) > 0, F.lit(label)) for label in sorted(PHRASES.values())])).alias("base"),
-        "templates", F.when(F.size("templates") > 0, at).alias("hits"),
     )
 
-    # postings vote; only texts with a mandatory phrase get here, and a key's votes are summed before they are shuffled
-    votes = rows.where(F.size("templates") > 0).select("doc_id", "content", F.explode("templates").alias("t"), "hits").select("doc_id", "content", "t", F.explode("hits").alias("hit"))
-    votes = votes.select("doc_id", "content", F.col("t.template").alias("template"), F.col("t.held").alias("held"), F.col("hit.p").alias("p"), F.explode(F.filter("t.postings", lambda x: x["word"] == F.col("hit.word"))).alias("posting"))
+    # Postings vote. Only texts that hold the words of a mandatory phrase are split again; what else a phrase asks is seen below.
+    may = words_of(docs.where(F.col("text").rlike("(?i)" + "|".join(sorted({_GAP.join(map(re.escape, p.split())) for _, _, p in TEMPLATES})))))
+    distinct = lambda k: sorted(set(TEMPLATES[k][1].split()))
+    postings = lambda k: F.array(*[F.struct(F.lit(w).alias("word"), F.lit(q).alias("q")) for q, w in enumerate(TEMPLATES[k][1].split())])
+    held = lambda k: F.size(F.array_intersect("rare", F.array(*map(F.lit, distinct(k)))))
+    template = lambda k: F.struct(F.lit(k).alias("template"), held(k).alias("held"), postings(k).alias("postings"))
+    open_ = F.filter(F.array(*[F.when(has_phrase(F.col("low"), phrase), template(k)) for k, (_, _, phrase) in enumerate(TEMPLATES)]), lambda t: t.isNotNull())
+    at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("p"))), lambda x: F.array_contains(F.col("rare"), x["word"]))
+    may = may.withColumn("rare", F.slice(F.array_intersect(rarity, "words"), 1, LOOKED_UP)).withColumn("templates", open_)
+    may = may.select("doc_id", F.xxhash64("low").alias("content"), "templates", F.when(F.size("templates") > 0, at).alias("hits"))
+    # Outer explodes: from others Catalyst infers filters, and pushes them down with all that the arrays are made of.
+    votes = may.select("doc_id", "content", F.explode_outer("templates").alias("t"), "hits").where(F.col("t").isNotNull())
+    votes = votes.select("doc_id", "content", "t", F.explode_outer("hits").alias("hit")).where(F.col("hit").isNotNull())
+    votes = votes.select("doc_id", "content", F.col("t.template").alias("template"), F.col("t.held").alias("held"), F.col("hit.p").alias("p"), F.explode_outer(F.filter("t.postings", lambda x: x["word"] == F.col("hit.word"))).alias("posting")).where(F.col("posting").isNotNull())
     votes = votes.groupBy("doc_id", "content", "template", "held", (F.col("p") - F.col("posting.q")).alias("begin")).agg(F.size(F.collect_set("posting.word")).alias("agree"))
     enough = F.element_at(F.create_map(*[F.lit(x) for k in range(len(TEMPLATES)) for x in (k, min(LEAST_AGREEING, len(distinct(k))))]), F.col("template"))
     label = F.element_at(F.create_map(*[F.lit(x) for k, t in enumerate(TEMPLATES) for x in (k, t[0])]), F.col("template"))
     found = votes.where((F.col("agree") >= enough) & (F.col("agree") >= AGREEING * F.col("held"))).groupBy("doc_id", "content").agg(F.collect_set(label).alias("method"), F.max(F.col("agree") / F.col("held")).alias("share"))
 
-    out = rows.drop("templates", "hits").join(found.withColumnsRenamed({"doc_id": "found_id", "content": "found_content"}), F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("content") == F.col("found_content")), "left")
+    out = rows.join(found.withColumnsRenamed({"doc_id": "found_id", "content": "found_content"}), F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("content") == F.col("found_content")), "left")
     none = F.array().cast("array<string>")
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
