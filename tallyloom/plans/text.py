@@ -59,6 +59,15 @@ def strip_reasoning(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(text.strip_reasoning(raw)).alias("answer"))
 
 
+@query()
+def strip_reasoning_whole(spark, sf):
+    """As strip_reasoning, over whole texts, whatever marks they hold themselves."""
+    t, kind = F.col("text"), F.col("doc_id") % 4
+    raw = F.when(kind == 0, t).when(kind == 1, F.concat(F.lit("<think>no</think>A "), t)).when(kind == 2, F.concat(F.lit("Thinking process: "), t))
+    raw = raw.otherwise(F.concat(F.lit("Here's a thinking process ... [output] x Final answer: "), t))
+    return docs(spark, sf).select("doc_id", F.md5(text.strip_reasoning(raw)).alias("answer"))
+
+
 @query("""SELECT doc_id, md5('<p><h2>' || string_split(text, ' ')[1] || '</h2></p><p><strong>' || string_split(text, ' ')[2] || '</strong> <code>x</code></p>') AS html FROM documents
 WHERE NOT regexp_matches(array_to_string(string_split(text, ' ')[1:2], ' '), '[\n*#`]')""")
 def md_to_html(spark, sf):
@@ -68,16 +77,33 @@ def md_to_html(spark, sf):
     return docs(spark, sf).where(~two.rlike("[\n*#`]")).select("doc_id", F.md5(text.markdown_to_html(raw)).alias("html"))
 
 
+@query()
+def md_to_html_whole(spark, sf):
+    """Every document, its whole text as heading and as bold text, whatever marks it holds itself."""
+    raw = F.concat(F.lit("## "), "text", F.lit("\n\n**"), "text", F.lit("** `x`"))
+    return docs(spark, sf).select("doc_id", F.md5(text.markdown_to_html(raw)).alias("html"))
+
+
 @query("""SELECT doc_id, CASE WHEN s = '' THEN 'video' ELSE s END AS name FROM (SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(lower(left(text, 120)), '[^a-z0-9\\s_-]', '', 'g'), '[\\s-]+', '_', 'g'), '^_+|_+$', '', 'g'), 80) AS s FROM documents)""")
 def snake_case(spark, sf):
     return docs(spark, sf).select("doc_id", text.snake_case(F.left("text", F.lit(120))).alias("name"))
 
 
+@query("""SELECT doc_id, CASE WHEN s = '' THEN 'video' ELSE s END AS name FROM (SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s_-]', '', 'g'), '[\\s-]+', '_', 'g'), '^_+|_+$', '', 'g'), 80) AS s FROM documents)""")
+def snake_case_whole(spark, sf):
+    return docs(spark, sf).select("doc_id", text.snake_case(F.col("text")).alias("name"))
+
+
 @query("""SELECT doc_id, left(regexp_replace(regexp_replace(left(text, 90), '[^\\p{L}\\p{N} _-]', '', 'g'), '^\\s+|\\s+$', '', 'g'), 60) AS name, CASE WHEN length(text) > 50 THEN left(text, 50) || '...' ELSE text END AS short FROM documents""")
 def file_name(spark, sf):
     return docs(spark, sf).select("doc_id", text.safe_file_name(F.left("text", F.lit(90))).alias("name"), text.truncated(F.col("text"), 50).alias("short"))
 
 
+@query("""SELECT doc_id, left(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N} _-]', '', 'g'), '^\\s+|\\s+$', '', 'g'), 60) AS name FROM documents""")
+def file_name_whole(spark, sf):
+    return docs(spark, sf).select("doc_id", text.safe_file_name(F.col("text")).alias("name"))
+
+
 @query("""SELECT page_id, length(regexp_replace(html, '<[^>]+>', '', 'g')) AS characters FROM pages""")
 def strip_markup(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.length(F.regexp_replace("html", "<[^>]+>", "")).cast("bigint").alias("characters"))
@@ -102,6 +128,14 @@ def code_blocks(spark, sf):
     return docs(spark, sf).select("doc_id", F.explode(text.code_blocks(raw)).alias("b")).select("doc_id", "b.language", "b.code")
 
 
+@query()
+def code_blocks_whole(spark, sf):
+    """As code_blocks, over whole texts with the fences that they hold themselves."""
+    fence = F.when(F.col("doc_id") % 2 == 0, "```python\n").otherwise("```\n")
+    raw = F.concat(F.lit("before\n"), fence, "text", F.lit("\n```\nafter"))
+    return docs(spark, sf).select("doc_id", F.explode(text.code_blocks(raw)).alias("b")).select("doc_id", "b.language", F.md5("b.code").alias("code"))
+
+
 @query("""SELECT conv_id, turn, 't_' || turn AS key, role AS label FROM conversations""")
 def label_parse(spark, sf):
     raw = F.concat(F.lit("noise\n t_"), F.col("turn").cast("string"), F.lit(": "), F.col("role"), F.lit("\nT: x"))
