@@ -3,8 +3,10 @@
 Windows that share no five-word shingle with any item cannot reach the similarity, so only windows in which a shared
 shingle stands where it stands in an item are fingerprinted: they begin where the item would begin. Each fingerprint is
 cut into blocks; two fingerprints within RADIUS differ by at most RADIUS // BLOCKS bits in one block at least, so looking
-every block up within that distance finds all item fingerprints within RADIUS. What is found is checked exactly: the
-weight of the item's shingles that the window holds, against the weight of all of them.
+every block up within that distance finds all item fingerprints within RADIUS. A fingerprint gives all words the same weight
+and the similarity doesn't, so items far from it may reach the similarity too: items of which a row holds shingles of enough
+weight, wherever they stand, are checked as well, which leaves none out. Checked exactly is, for each window that begins where
+the item would begin, the weight of the item's shingles that it holds, against the weight of all of them.
 
 Items are read in blocks of bounded size, each broadcast in turn; a larger benchmark means more blocks.
 """
@@ -120,15 +122,21 @@ class Items:
         begin = np.concatenate(([0], np.cumsum(many)))
         posting = np.repeat(self.first[key] - begin[:-1], many) + np.arange(begin[-1])
         row, place = np.repeat(row, many), np.repeat(place, many)
-        length = self.length[self.posting_item[posting]]
+        owner = self.posting_item[posting]
+        length = self.length[owner]
         count = np.diff(words.rows)[row]
         start = np.clip(place - self.posting_place[posting], 0, np.maximum(count - length, 0))
-        window = np.unique(np.stack((row, start, np.minimum(length, count))), axis=1)
-        row, start, length = window
-        pair_window, pair_item = self.near(fingerprints(words.hashes(), words.rows[row] + start, length))
+        length = np.minimum(length, count)
+        pair, where = np.unique(row * len(self.ids) + owner, return_inverse=True)  # rows and items that share a shingle
+        held = np.unique(where * len(self.keys) + np.repeat(key, many))
+        held = np.bincount(held // len(self.keys), self.weight[held % len(self.keys)], len(pair))
+        check = held >= (SIMILARITY - 1e-9) * self.total[pair % len(self.ids)]
+        window = np.unique(np.stack((row, start, length)), axis=1)
+        near_window, near_item = self.near(fingerprints(words.hashes(), words.rows[window[0]] + window[1], window[2]))
+        check |= np.isin(pair, window[0][near_window] * len(self.ids) + near_item)
+        sought = check[where]
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for w, i in zip(pair_window.tolist(), pair_item.tolist(), strict=True):
-            r, s, n = int(row[w]), int(start[w]), int(length[w])
+        for r, i, s, n in np.unique(np.stack((row, owner, start, length))[:, sought], axis=1).T.tolist():
             held = np.unique(known[at[r] + s : min(at[r] + s + max(1, n - SHINGLE + 1), at[r + 1])])
             similar = float(self.weight[np.intersect1d(held, self.own[i], assume_unique=True)].sum() / self.total[i])
             if similar >= SIMILARITY - 1e-12 and (-similar, s) < best.get((r, i), (1.0, 0))[:2]:

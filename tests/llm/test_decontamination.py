@@ -95,3 +95,21 @@ def test_all_within_the_radius_are_found():
     w, i = items.near(prints)
     expected = {(a, b) for a in range(len(prints)) for b in range(60) if bin(int(prints[a] ^ items.print[b])).count("1") <= decontamination.RADIUS}
     assert set(zip(w.tolist(), i.tolist(), strict=True)) == expected
+
+
+def test_items_with_a_common_beginning(spark):
+    """The rare part of an item reaches the similarity without the beginning that all items share."""
+    random.seed(9)
+    text = lambda n: [f"w{random.randrange(5000)}" for _ in range(n)]
+    common = text(20)
+    items = [(i, " ".join(common + text(20))) for i in range(60)]
+    docs = [(i, " ".join(text(30) + t.split()[16:] + text(30))) for i, t in items]
+    docs += [(100 + i, " ".join(text(16) + t.split()[16:])) for i, t in items]
+    assert len(check(spark, docs, items)) == 120
+
+
+def test_window_begins_where_its_own_item_would(spark):
+    """A window of one item isn't told as another's, even if their fingerprints are near."""
+    words = [f"w{i}" for i in range(40)]
+    out = check(spark, [(1, " ".join(["a", "b", *words, "c"]))], [(1, " ".join(words)), (2, " ".join(words[1:])), (3, " ".join(words[:-1]))])
+    assert [(r["item_id"], r["first_word"], r["n_words"]) for r in sorted(out, key=lambda r: r["item_id"])] == [(1, 2, 40), (2, 3, 39), (3, 2, 39)]
