@@ -8,7 +8,8 @@ and the similarity doesn't, so items far from it may reach the similarity too: i
 weight, wherever they stand, are checked as well, which leaves none out. Checked exactly is, for each window that begins where
 the item would begin, the weight of the item's shingles that it holds, against the weight of all of them.
 
-Items are read in blocks of bounded size, each broadcast in turn; a larger benchmark means more blocks.
+Items are read in blocks of bounded size, each broadcast in turn; a larger benchmark means more blocks. The weights are those of
+the whole benchmark, so blocks bound memory and change no result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import delete, written
 from .kernel import Words, shingles, slices, small_batches
 
 SHINGLE = 5
@@ -45,9 +47,13 @@ def fingerprints(words: np.ndarray, start: np.ndarray, length: np.ndarray) -> np
 
 
 class Items:
-    """Index of a block of items: shingle postings, fingerprints by block value, weights."""
+    """Index of a block of items: shingle postings, fingerprints by block value, weights.
 
-    def __init__(self, ids: list, texts: list[str]):
+    `whole`: items of the whole benchmark, hashes of at least this block's shingles in order, and items that hold each; None if
+    the block is the whole benchmark.
+    """
+
+    def __init__(self, ids: list, texts: list[str], whole: tuple[int, np.ndarray, np.ndarray] | None = None):
         words = Words(pa.array(texts, pa.large_string()))
         hashes, at = shingles(words, SHINGLE)
         self.ids, self.length = ids, np.diff(words.rows)
@@ -57,11 +63,15 @@ class Items:
         self.posting_item, self.posting_place = item[order], place[order]
         self.keys, first, many = np.unique(hashes[order], return_index=True, return_counts=True)
         self.first, self.many = first, many
-        # weight of a shingle: the fewer items of the block hold it, the more it says
+        # weight of a shingle: the fewer items of the benchmark hold it, the more it says
         holders = np.zeros(len(self.keys), np.int64)
         pair = np.unique(np.stack((np.searchsorted(self.keys, hashes), item)), axis=1)
         np.add.at(holders, pair[0], 1)
-        self.weight = np.log1p(len(ids) / np.maximum(holders, 1))
+        count = len(ids)
+        if whole:
+            count, known, many = whole
+            holders = many[np.searchsorted(known, self.keys)]
+        self.weight = np.log1p(count / np.maximum(holders, 1))
         self.own = [pair[0][pair[1] == i] for i in range(len(ids))] if len(ids) < 2000 else np.split(pair[0][np.argsort(pair[1], kind="stable")], np.cumsum(np.bincount(pair[1], minlength=len(ids)))[:-1])
         self.total = np.array([self.weight[o].sum() for o in self.own])
         self.may = np.zeros(1 << _PREFILTER_BITS, bool)
@@ -144,16 +154,50 @@ class Items:
         return [(r, i, s, n, -x) for (r, i), (x, s, n) in sorted(best.items())]
 
 
+def _holders(items: DataFrame) -> tuple[int, DataFrame, str]:
+    """Items that have words; for each block, the hash of each of its shingles and the number of all items that hold it; the
+    path of that table."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                hashes, at = shingles(Words(part.column("text")), SHINGLE)
+                row = np.repeat(np.arange(part.num_rows), np.diff(at))
+                order = np.lexsort((hashes, row))
+                hashes, row = hashes[order], row[order]
+                first = np.diff(row, prepend=-1) > 0  # of an item's shingles
+                once = first | (np.diff(hashes, prepend=np.uint64(0)) != 0)
+                row = pa.array(row[once])
+                yield pa.RecordBatch.from_arrays([part.column("block").take(row), pa.array(hashes[once].view(np.int64)), pa.array(first[once].astype(np.int64))], ["block", "shingle", "first"])
+
+    rows = small_batches(items).select("block", "text").mapInArrow(run, "block long, shingle long, first long")
+    counts, path = written(rows.groupBy("block", "shingle").agg(F.count("*").alias("n"), F.sum("first").alias("first")))
+    count = counts.agg(F.sum("first").alias("n")).first()["n"] or 0
+    out, kept = written(counts.join(counts.groupBy("shingle").agg(F.sum("n").alias("holders")), "shingle").select("block", "shingle", "holders"))
+    delete(items.sparkSession, path)
+    return count, out, kept
+
+
 def _blocks(benchmark: DataFrame, max_chars: int):
     """Indexed items, a bounded block at a time; items without words are left out."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = -(-chars // max_chars)
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("long") if blocks else F.lit(0))
+    count, holders, path = _holders(items) if blocks > 1 else (0, None, "")
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about max_chars characters
+        part = items.where(F.col("block") == b).orderBy("item_id", "text").collect()  # about max_chars characters
         part = [r for r in part if r["text"].encode().split()]
         if part:
-            yield Items([r["item_id"] for r in part], [r["text"] for r in part])
+            whole = None
+            if holders is not None:  # as many rows as the block has different shingles
+                rows = holders.where(F.col("block") == b).toArrow()
+                known = rows.column("shingle").to_numpy().view(np.uint64)
+                order = np.argsort(known)
+                whole = count, known[order], rows.column("holders").to_numpy()[order]
+            yield Items([r["item_id"] for r in part], [r["text"] for r in part], whole)
+    if path:
+        delete(benchmark.sparkSession, path)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, max_block_chars: int = MAX_BLOCK_CHARS) -> DataFrame:

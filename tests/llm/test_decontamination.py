@@ -113,3 +113,13 @@ def test_window_begins_where_its_own_item_would(spark):
     words = [f"w{i}" for i in range(40)]
     out = check(spark, [(1, " ".join(["a", "b", *words, "c"]))], [(1, " ".join(words)), (2, " ".join(words[1:])), (3, " ".join(words[:-1]))])
     assert [(r["item_id"], r["first_word"], r["n_words"]) for r in sorted(out, key=lambda r: r["item_id"])] == [(1, 2, 40), (2, 3, 39), (3, 2, 39)]
+
+
+def test_blocks_change_no_similarity(spark, planted):
+    """Items that share shingles across blocks, copies near 0.8."""
+    random.seed(10)
+    text = lambda n: [f"w{random.randrange(3000)}" for _ in range(n)]
+    common = text(15)
+    items = [(i, " ".join(common + text(15))) for i in range(40)] + planted[1]
+    docs = [(1000 + 100 * i + k, " ".join([*t.split()[:k], "other", *t.split()[k + 1 :]])) for i, t in items[:40] for k in (7, 16, 18, 26)]
+    assert len(check(spark, docs + planted[0], items, max_block_chars=800)) == len(check(spark, docs + planted[0], items)) > 60
