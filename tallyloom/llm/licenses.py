@@ -1,9 +1,10 @@
 """Licence scan by a positional rare-token index, in DataFrame functions only.
 
 The index holds, for each template, where its words stand. Document frequencies of all template words are counted over all
-texts; of the template words in a text, those of highest inverse document frequency are looked up, and a posting (word at
-place p of the text, place q of a template) votes for the template beginning at p - q. Where enough different words agree on
-one beginning and the template's mandatory phrase occurs in the text, the template's label is found.
+texts; for each template whose mandatory phrase occurs in a text, those of its words in the text that have the highest inverse
+document frequency are looked up, and a posting (word at place p of the text, place q of the template) votes for the template
+beginning at p - q. Where enough different words agree on one beginning, the template's label is found. No template takes
+another's places, so one that stands whole in a text is found whatever else stands there.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ TEMPLATES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
 )
-#: Words of highest inverse document frequency that are looked up for each text; words that must agree on a beginning (fewer
+#: Words of highest inverse document frequency that are looked up for each text and template; words that must agree on a beginning (fewer
 #: if a template has fewer different ones), and the share of a template's words among those looked up that must.
 LOOKED_UP = 16
 LEAST_AGREEING = 3
@@ -105,16 +106,16 @@ def scan(docs: DataFrame) -> DataFrame:
     may = words_of(docs.where(F.col("text").rlike("(?i)" + "|".join(sorted({_GAP.join(map(re.escape, p.split())) for _, _, p in TEMPLATES})))))
     distinct = lambda k: sorted(set(TEMPLATES[k][1].split()))
     postings = lambda k: F.array(*[F.struct(F.lit(w).alias("word"), F.lit(q).alias("q")) for q, w in enumerate(TEMPLATES[k][1].split())])
-    held = lambda k: F.size(F.array_intersect("rare", F.array(*map(F.lit, distinct(k)))))
-    template = lambda k: F.struct(F.lit(k).alias("template"), held(k).alias("held"), postings(k).alias("postings"))
+    rare = lambda k: F.slice(F.array_intersect("known", F.array(*map(F.lit, distinct(k)))), 1, LOOKED_UP)
+    template = lambda k: F.struct(F.lit(k).alias("template"), rare(k).alias("rare"), postings(k).alias("postings"))
     open_ = F.filter(F.array(*[F.when(has_phrase(F.col("low"), phrase), template(k)) for k, (_, _, phrase) in enumerate(TEMPLATES)]), lambda t: t.isNotNull())
-    at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("p"))), lambda x: F.array_contains(F.col("rare"), x["word"]))
-    may = may.withColumn("rare", F.slice(F.array_intersect(rarity, "words"), 1, LOOKED_UP)).withColumn("templates", open_)
-    may = may.select("doc_id", F.xxhash64("low").alias("content"), "templates", F.when(F.size("templates") > 0, at).alias("hits"))
+    may = may.withColumn("known", F.array_intersect(rarity, "words")).withColumn("templates", open_)
+    may = may.select("doc_id", F.xxhash64("low").alias("content"), "templates", F.when(F.size("templates") > 0, F.col("words")).alias("words"))
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("p"))), lambda x: F.array_contains(F.col("t.rare"), x["word"]))
     # Outer explodes: from others Catalyst infers filters, and pushes them down with all that the arrays are made of.
-    votes = may.select("doc_id", "content", F.explode_outer("templates").alias("t"), "hits").where(F.col("t").isNotNull())
-    votes = votes.select("doc_id", "content", "t", F.explode_outer("hits").alias("hit")).where(F.col("hit").isNotNull())
-    votes = votes.select("doc_id", "content", F.col("t.template").alias("template"), F.col("t.held").alias("held"), F.col("hit.p").alias("p"), F.explode_outer(F.filter("t.postings", lambda x: x["word"] == F.col("hit.word"))).alias("posting")).where(F.col("posting").isNotNull())
+    votes = may.select("doc_id", "content", F.explode_outer("templates").alias("t"), "words").where(F.col("t").isNotNull())
+    votes = votes.select("doc_id", "content", "t", F.explode_outer(hits).alias("hit")).where(F.col("hit").isNotNull())
+    votes = votes.select("doc_id", "content", F.col("t.template").alias("template"), F.size("t.rare").alias("held"), F.col("hit.p").alias("p"), F.explode_outer(F.filter("t.postings", lambda x: x["word"] == F.col("hit.word"))).alias("posting")).where(F.col("posting").isNotNull())
     votes = votes.groupBy("doc_id", "content", "template", "held", (F.col("p") - F.col("posting.q")).alias("begin")).agg(F.size(F.collect_set("posting.word")).alias("agree"))
     enough = F.element_at(F.create_map(*[F.lit(x) for k in range(len(TEMPLATES)) for x in (k, min(LEAST_AGREEING, len(distinct(k))))]), F.col("template"))
     label = F.element_at(F.create_map(*[F.lit(x) for k, t in enumerate(TEMPLATES) for x in (k, t[0])]), F.col("template"))

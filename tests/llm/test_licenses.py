@@ -39,6 +39,16 @@ def test_labels(spark, text, labels):
     assert out[99]["labels"] == labels
 
 
+def test_several_licences_in_one_long_text(spark):
+    """Each template that stands whole in a text is found, also where its words are common and others' are rare."""
+    noise = [(i, "Licensed under CC BY 4.0 and CC BY-SA 4.0, see the licensed version 2 0 under nc") for i in range(40)]
+    every = "\n".join(t for _, t, _ in licenses.TEMPLATES)
+    three = "\n".join([licenses.TEMPLATES[2][1], licenses.TEMPLATES[8][1], "Licensed under CC BY-SA 4.0.", "the end of this and of the like " * 200])
+    out = check(spark.createDataFrame([(98, every), (99, three), *noise], "doc_id long, text string"))
+    assert out[99]["labels"] == "bsd,cc-by,cc-by-sa,mit"
+    assert set(out[98]["labels"].split(",")) == {label for label, _, _ in licenses.TEMPLATES} | {"cc-by"}
+
+
 def test_odd_rows(odd, nothing, spark):
     check(odd)
     assert licenses.scan(nothing).count() == 0
