@@ -97,6 +97,13 @@ def truncated_prompt(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(F.concat(F.left("text", F.lit(3000)), F.array_join(F.transform(later, lambda x: F.concat(F.lit("\n"), x)), ""))).alias("prompt"))
 
 
+@query("""SELECT doc_id, md5(left(text, 30000) || coalesce(list_aggregate(list_transform(list_filter(string_split(substr(text, 30001), chr(10)), lambda x: regexp_matches(x, '^[A-Z]')), lambda x: chr(10) || x), 'string_agg', ''), '')) AS prompt FROM documents""")
+def truncated_prompt_whole(spark, sf):
+    """As truncated_prompt, with the 30,000 characters that the reference keeps."""
+    later = F.filter(F.split(F.substring("text", 30_001, 2_000_000_000), "\n"), lambda line: line.rlike("^[A-Z]"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(F.concat(F.left("text", F.lit(30_000)), F.array_join(F.transform(later, lambda x: F.concat(F.lit("\n"), x)), ""))).alias("prompt"))
+
+
 @query("SELECT doc_id, CASE WHEN length(text) % 2 = 0 THEN 'incremental' ELSE 'transition' END AS label FROM documents")
 def batched_classifier(spark, sf):
     """A deterministic stand-in for a model that fails on some batches; failures are asked again."""

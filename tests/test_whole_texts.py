@@ -69,3 +69,11 @@ def folder(spark, tmp_path_factory):
 def test_whole_texts(spark, folder, name):
     found = sorted(tuple(r) for r in plans.QUERIES[name](spark, folder).collect())
     assert found == sorted(x for i, t in enumerate(TEXTS) for k in range(4) for x in BRUTE[name](4 * i + k, t))
+
+
+def test_prompt_keeps_30000_characters(spark, tmp_path):
+    head = "small line\n" * 2_000
+    texts = [head, head + "x" * (30_000 - len(head)), head + "x" * (30_000 - len(head)) + "tail\nCapital\nsmall\nOther"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = dict(plans.QUERIES["truncated_prompt_whole"](spark, str(tmp_path)).collect())
+    assert found == {0: md5(texts[0]), 1: md5(texts[1]), 2: md5(texts[1] + "\nCapital\nOther")}
