@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, delete, written
-from .kernel import small_batches
+from .kernel import sampled, small_batches
 
 COSINE = 0.95
 MARGIN_SIGMAS = 4.0
@@ -36,6 +36,14 @@ MIN_TRAINING_ROWS = 20_000
 PART_ROWS = 1_000
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, by a power of two first: squares of the large components of any finite vector neither over- nor underflow."""
+    if not x.size:
+        return x
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     out = np.zeros(len(x), np.int64)
     half = (centres**2).sum(1) / 2
@@ -132,8 +140,7 @@ def compare_cells(rows: DataFrame, quantiser: Quantiser, cosine: float) -> DataF
         cell = int(table["list"][0].as_py())
         role = table["role"].to_numpy()
         ids, copies = table["vec_id"].to_numpy(), table["copies"].to_numpy()
-        x = _vectors(table["x"].combine_chunks())
-        x /= np.sqrt((x * x).sum(1))[:, None] * 1.0
+        x = unit(_vectors(table["x"].combine_chunks()))
         left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
         out = {"kind": [], "a": [], "b": [], "n": []}
         if len(left) and len(right):
@@ -167,9 +174,10 @@ def links(distinct: DataFrame, rows: int, cosine: float) -> DataFrame:
     spark = distinct.sparkSession
     lists = max(1, min(MAX_LISTS, int(LISTS_FACTOR * math.sqrt(rows))))
     most = max(MIN_TRAINING_ROWS, 8 * lists)
-    sample = distinct if rows <= most else distinct.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int((1 << 20) * most / rows))
-    sample = np.stack([r.values.to_numpy() for r in sample.select("vec_id", "x").toArrow().sort_by("vec_id")["x"]])  # about `most` rows
-    sample = sample / np.sqrt((sample**2).sum(1))[:, None]
+    sample = sampled(distinct, "vec_id", most, rows).select("vec_id", "x").toArrow().sort_by("vec_id")["x"]  # about `most` rows
+    if not len(sample):
+        raise RuntimeError(f"a sample of about {most} of {rows} vectors is empty")
+    sample = unit(np.stack([r.values.to_numpy() for r in sample]))
     quantiser = Quantiser(sample, lists, math.sqrt(max(0.0, 2 - 2 * cosine)))
     shared = spark.sparkContext.broadcast(quantiser)
 
@@ -179,7 +187,7 @@ def links(distinct: DataFrame, rows: int, cosine: float) -> DataFrame:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
                 raw = np.stack([r.values.to_numpy() for r in part.column("x")])
-                x = raw / np.sqrt((raw**2).sum(1))[:, None]
+                x = unit(raw)
                 home = nearest(x, q.centres)
                 codes, error = q.encode(x, home)
                 yield pa.RecordBatch.from_arrays(

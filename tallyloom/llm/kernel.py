@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed together; one longer text makes a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -67,6 +68,18 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def sample_bound(most: int, total: int) -> int:
+    """Of `total` rows with hashes of 63 bits, about `most` lie below this; exact integers, so no total is too large for it."""
+    return min(1 << 63, (most << 63) // max(1, total))
+
+
+def sampled(rows: DataFrame, key: str, most: int, total: int) -> DataFrame:
+    """All of `total` rows, or about `most` of them by a hash of the key."""
+    if total <= most:
+        return rows
+    return rows.where(F.shiftrightunsigned(F.xxhash64(key), 1) < sample_bound(most, total))
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have at most `most` bytes together, one row at least."""
     if not batch.num_rows:

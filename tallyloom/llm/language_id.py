@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import crc_fold, slices, small_batches
+from .kernel import crc_fold, sampled, slices, small_batches
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -20,7 +20,7 @@ _letter: list[np.ndarray] = []
 def letters() -> np.ndarray:
     """For each code point, 1 if it is a letter."""
     if not _letter:
-        _letter.append(np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000))
+        _letter.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
     return _letter[0]
 
 
@@ -31,7 +31,7 @@ def ngrams(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     whole = "\n".join(("" if t is None else t).replace("\n", " ").lower() for t in text.to_pylist())
     code = np.frombuffer(f"\n{whole}\n".encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = letters()[np.minimum(code, 0x2FFFF)]
+    is_letter = letters()[code]
     row_end = code == 10
     keep = is_letter | row_end
     keep[1:] |= is_letter[:-1]  # one mark after each word; before the first, the row's own
@@ -72,8 +72,7 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[list[
     """
     rows = small_batches(labelled).where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     total = rows.count()
-    if total > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) < int((1 << 20) * max_rows / total))
+    rows = sampled(rows, "doc_id", max_rows, total)
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -94,6 +93,8 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[list[
 
     found = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
+    if total and not langs:
+        raise RuntimeError(f"a sample of about {max_rows} of {total} labelled rows is empty")
     counts = np.zeros((BUCKETS + 1, len(langs)))
     counts[found["bucket"].to_numpy(int), np.searchsorted(langs, found["lang"])] = found["n"]
     grams = counts[:-1] + 0.1

@@ -12,13 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Words, crc_fold, mix, slices, small_batches
+from .kernel import Words, crc_fold, mix, sampled, slices, small_batches
 
 BUCKETS = 1 << 20
 #: Beginnings of words, in bytes, that are features besides the whole word.
 PREFIXES = (4, 5, 6, 7)
 #: About so many labelled rows of each class at most are fitted, chosen by a hash of the id.
 MAX_TRAINING_ROWS = 2_500
+#: Texts of more characters are not fitted, so that the sample is bounded in bytes too: 2 * MAX_TRAINING_ROWS texts of this length
+#: have some 0.5 GB of features, and usual ones a hundredth. They are scored like all others.
+MAX_TRAINING_CHARS = 32_768
 EPOCHS = 250
 #: Weight decay, and the pull to zero that makes the weights sparse.
 DECAY, SPARSITY = 0.3, 0.5
@@ -73,8 +76,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    bound = F.when(F.col("y") == 1, int((1 << 20) * min(1, max_rows / sizes[1]))).otherwise(int((1 << 20) * min(1, max_rows / sizes[0])))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < bound)
+    sample = sampled(known.where("y = 1"), "doc_id", max_rows, sizes[1]).unionByName(sampled(known.where("y = 0"), "doc_id", max_rows, sizes[0]))
 
     def run(batches):
         for batch in batches:
@@ -90,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5
                     out_y.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(out_y, pa.int32()), pa.array(out_sizes, pa.list_(pa.int32())), pa.array(out_feats, pa.list_(pa.int32()))], ["y", "sizes", "feats"])
 
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= MAX_TRAINING_CHARS)
     found = rows.join(F.broadcast(sample), "doc_id").select("text", "y").mapInArrow(run, "y int, sizes array<int>, feats array<int>").toArrow()  # at most about 2 * max_rows texts
     parts = {c: [x.values.to_numpy() for x in found[c]] for c in ("sizes", "feats")}
     bags = sorted((y, len(f), int(f[:50].sum()), i) for i, (y, f) in enumerate(zip(found["y"].to_pylist(), parts["feats"], strict=True)) if len(f))  # one order whatever the partitions were

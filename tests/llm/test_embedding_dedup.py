@@ -56,6 +56,18 @@ def test_one_large_group_is_dealt_over_cells(spark, monkeypatch):
     assert sorted((r["vec_id"], r["n_links"]) for r in out) == links
 
 
+def test_extreme_finite_vectors_harm_no_other(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(24, 8))
+    rows = [(i, (centres[i % 24] + rng.normal(size=8) * 0.02).tolist()) for i in range(120)]
+    rows += [(200, [1e300] * 8), (201, [1e-300] * 8), (202, [1e200, -1e-200] * 4), (203, [5e-324] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df).collect()}
+    links, component = brute([r for r in rows if r[0] < 200])
+    assert {(i, out[i]["n_links"]) for i in range(120)} == set(links) and all(out[i]["component_id"] == component[i] for i in range(120))
+    assert out[200]["component_id"] == out[201]["component_id"] == out[203]["component_id"] == 200
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (None, [1.0, 0.0]), (8, [1.0]), (9, [3.0]), (10, [])]
     out = {}
