@@ -6,23 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SECTION = "title string, start_timestamp string, end_timestamp string, content_type string, key_topics array<string>"
+#: fixed values: the similarity from which on a transition is incremental unasked
+FAST_PATH = 0.95
 #: fixed values: content types; others count as general
-CONTENT_TYPES = ("intro", "tutorial", "discussion", "demo", "q_and_a", "conclusion", "general")
+CONTENT_TYPES = ("intro", "conceptual", "code_walkthrough", "demo_tutorial", "conclusion", "general")
 
 
 def first_array(text: Column) -> Column:
-    """The first balanced [...] of a text (brackets in strings count too), else ''. A fold over the brackets alone."""
-    opens = F.locate("[", text)
-    rest = F.substring(text, opens, F.length(text))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+    """The first balanced [...] of a text that begins at depth 0 (brackets in strings count, and so do closing ones before), else ''."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("begin"), F.lit(0).alias("end"))
 
     def step(s, c):
-        depth = s["depth"] + F.when(c == "[", 1).when(c == "]", -1).otherwise(0)
         at = s["at"] + 1
-        return F.struct(F.when(s["end"] > 0, s["depth"]).otherwise(depth).alias("depth"), at.alias("at"), F.when(s["end"] > 0, s["end"]).when(depth == 0, at).otherwise(0).alias("end"))
+        depth = s["depth"] + F.when(c == "[", 1).when(c == "]", -1).otherwise(0)
+        begin = F.when((c == "[") & (s["depth"] == 0), at).otherwise(s["begin"])
+        end = F.when((c == "]") & (depth == 0) & (s["begin"] > 0), at).otherwise(0)
+        return F.struct(at.alias("at"), F.when(s["end"] > 0, s["depth"]).otherwise(depth).alias("depth"), F.when(s["end"] > 0, s["begin"]).otherwise(begin).alias("begin"), F.when(s["end"] > 0, s["end"]).otherwise(end).alias("end"))
 
-    end = F.aggregate(F.split(rest, ""), start, step)["end"]
-    return F.when(opens > 0, F.when(end > 0, F.substring(rest, F.lit(1), end)).otherwise("")).otherwise("")
+    found = F.aggregate(F.split(text, ""), start, step)
+    return F.when(found["end"] > 0, F.substring(text, found["begin"], found["end"] - found["begin"] + 1)).otherwise("")
 
 
 def sections(text: Column) -> Column:
@@ -41,6 +43,42 @@ def subset(required: Column, offered: Column) -> Column:
     return F.size(F.array_except(required, F.coalesce(offered, F.array().cast("array<string>")))) == 0
 
 
+def model_names(body: Column) -> Column:
+    """Names in a JSON body: `data[].id` if there is a data list, else `models[].name`; empty ones are left out."""
+    listed = F.from_json(body, "struct<data: array<struct<id: string>>, models: array<struct<name: string>>>")
+    names = F.when(listed["data"].isNotNull(), F.transform(listed["data"], lambda m: m["id"])).otherwise(F.transform(listed["models"], lambda m: m["name"]))
+    return F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda n: n.isNotNull() & (n != ""))
+
+
+def holds_model(names: Column, model: Column, tags: bool) -> Column:
+    """The model is among the names; with `tags`, a name that is the model and a tag after a colon counts."""
+    return F.exists(names, lambda n: (n == model) | (n.startswith(F.concat(model, F.lit(":"))) if tags else F.lit(False)))
+
+
+def live_models(listed: Column, managed: Column, ready: Column, running: Column, current: Column) -> Column:
+    """A manager's list less what does not run: its current model, if it is ready, running and listed. Other lists stand."""
+    none = F.array().cast("array<string>")
+    alive = F.coalesce(ready & running & F.array_contains(listed, current), F.lit(False))
+    return F.when(~managed, listed).when(alive, F.array(current)).otherwise(none)
+
+
+def final_classification(given: Column, by_model: Column) -> Column:
+    """The model's answer, else what was given, else a transition."""
+    return F.coalesce(by_model, given, F.lit("transition"))
+
+
+def fast_path(similarity: Column, by_model: Column, bound: float = FAST_PATH) -> Column:
+    """The model's answer, which a similarity of `bound` or more makes incremental without asking."""
+    return F.when(F.coalesce(similarity, F.lit(0.0)) >= bound, "incremental").otherwise(by_model)
+
+
+def resume_kept(key: Column, entry: Column, cutoff: Column, prefix: str) -> Column:
+    """Whether a stored entry stays: other keys and empty entries do; of the prefix only JSON with a number savedAt not before the cutoff."""
+    saved = F.from_json(entry, "savedAt string")["savedAt"]
+    number = entry.rlike(r'"savedAt"\s*:\s*-?[0-9]') & F.coalesce(saved, F.lit("")).rlike(r"^-?[0-9.eE+]+$")
+    return ~key.startswith(prefix) | (F.coalesce(entry, F.lit("")) == "") | F.coalesce(number & (saved.try_cast("double") >= cutoff), F.lit(False))
+
+
 def detail_text(detail: Column, fallback: str) -> Column:
     """Message of a JSON body: its `detail` text, or the messages of a `detail` list joined by '; ', else the fallback."""
     listed = F.from_json(detail, "struct<detail: array<struct<msg: string>>>")["detail"]["msg"]

@@ -53,17 +53,28 @@ def format_minutes(seconds: Column) -> Column:
 
 
 def remaining_text(seconds: Column) -> Column:
-    """45s, 7m, 2h 5m: rounded to whole seconds, minutes up to an hour, then hours and minutes; whole hours without minutes."""
-    s = F.floor(seconds + 0.5).cast("bigint")
-    m = F.floor(s / 60.0 + 0.5).cast("bigint")
+    """45s, 7m, 2h 5m: seconds are rounded, not below 0, minutes are whole ones; whole hours without minutes."""
+    s = F.greatest(F.lit(0), F.floor(seconds + 0.5)).cast("bigint")
+    m = F.floor(s / 60).cast("bigint")
     h = F.floor(m / 60)
     hours = F.concat(h.cast("string"), F.lit("h"), F.when(m % 60 > 0, F.concat(F.lit(" "), (m % 60).cast("string"), F.lit("m"))).otherwise(""))
     return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(m < 60, F.concat(m.cast("string"), F.lit("m"))).otherwise(hours)
 
 
+def range_text(low: Column, high: Column) -> Column:
+    """`eta 5m–7m`, the smaller first; `eta ~5m` with only a low, `eta up to 7m` with only a high bound; null without both."""
+    both = F.concat(F.lit("eta "), remaining_text(F.least(low, high)), F.lit("–"), remaining_text(F.greatest(low, high)))
+    return F.when(low.isNotNull() & high.isNotNull(), both).when(low.isNotNull(), F.concat(F.lit("eta ~"), remaining_text(low))).when(high.isNotNull(), F.concat(F.lit("eta up to "), remaining_text(high)))
+
+
+def shown_progress(percent: Column) -> Column:
+    """0 for null, kept within 0..100."""
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(percent, F.lit(0))))
+
+
 def elapsed_text(seconds: Column) -> Column:
-    """2h 5m, 5m 3s, 3s; a dash for null."""
-    s = F.floor(seconds).cast("bigint")
+    """2h 5m, 5m 3s, 3s: rounded, not below 0; a dash for null."""
+    s = F.greatest(F.lit(0), F.floor(seconds + 0.5)).cast("bigint")
     h, m = F.floor(s / 3600), F.floor(s % 3600 / 60)
     text = lambda *parts: F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in parts])
     return F.when(seconds.isNull(), F.lit("—")).when(h > 0, text(h, "h ", m, "m")).when(m > 0, text(m, "m ", s % 60, "s")).otherwise(text(s, "s"))

@@ -15,7 +15,15 @@ SOURCE_PATTERNS = (
     ("reddit", (r"reddit\.com/r/\w+/comments/([\w]+)", r"redd\.it/([\w]+)")),
     ("rumble", (r"rumble\.com/(?:embed/)?(v\w+)",)),
 )
+#: fixed value: endings of media files
 FILE_PATTERN = r"(?i)\.(mp4|webm|mov|mkv|avi|m3u8|m4v|ogv)(\?|$)"
+#: fixed values: private, loopback, link-local, shared, reserved, documentation and multicast ranges
+NOT_PUBLIC = (
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15),
+    ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
+)
+#: fixed values: unspecified, loopback, local, link-local, multicast and documentation addresses of IPv6
+NOT_PUBLIC_6 = r"^(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*|2001:0?db8:.*|100::.*)$"
 
 
 def url_hash(url: Column) -> Column:
@@ -35,14 +43,33 @@ def classify(url: Column, patterns=SOURCE_PATTERNS, file_pattern: str = FILE_PAT
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
+    """Lower-case host of a URL, without user, port and the brackets of an IPv6 address; '' if there is none."""
+    authority = F.regexp_replace(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), r"^.*@", "")
+    return F.lower(F.when(authority.startswith("["), F.regexp_extract(authority, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_extract(authority, r"^([^:]*)", 1)))
+
+
+def internal_host(h: Column) -> Column:
+    """The host is localhost or the text of an address that is not public. No name is looked up."""
+    v4 = F.when(h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), h).otherwise(F.regexp_extract(h, r"^::ffff:(\d{1,3}(?:\.\d{1,3}){3})$", 1))
+    part = lambda i: F.regexp_extract(v4, r"^(\d+)\.(\d+)\.(\d+)\.(\d+)$", i).try_cast("int")
+    number = part(1) * F.lit(1 << 24).cast("long") + part(2) * 65536 + part(3) * 256 + part(4)
+
+    def within(n: Column) -> Column:
+        inside = F.lit(False)
+        for address, bits in NOT_PUBLIC:
+            low = sum(int(x) << (24 - 8 * i) for i, x in enumerate(address.split(".")))
+            inside = inside | n.between(low, low + (1 << (32 - bits)) - 1)
+        return inside
+
+    inside = F.exists(F.array(number), within)  # the number is worked out once
+    six = h.contains(":") & h.rlike(NOT_PUBLIC_6)
+    return (h == "localhost") | h.endswith(".localhost") | six | F.coalesce(inside, F.lit(False))
 
 
 def guard(url: Column, allowed: list[str] | None = None) -> Column:
     """Why a URL is refused: `scheme`, `host`, `internal` or `not allowed`; null if it is not. No name is looked up."""
     h = host(url)
-    internal = (h == "localhost") | h.rlike(r"^(127|10)\.|^192\.168\.|^169\.254\.|^172\.(1[6-9]|2\d|3[01])\.|^0\.0\.0\.0$")
-    out = F.when(~url.rlike(r"(?i)^https?://"), "scheme").when(h == "", "host").when(internal, "internal")
+    out = F.when(~url.rlike(r"(?i)^\s*https?://"), "scheme").when(h == "", "host").when(internal_host(h), "internal")
     return out.when(~h.isin(*allowed), "not allowed") if allowed is not None else out
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: fixed values: weight of each step; other steps weigh 10
 STEP_WEIGHTS = {"download": 10, "transcribe": 20, "snapshots": 15, "slides": 30, "summarize": 20, "export": 5}
 DEFAULT_WEIGHT = 10
+#: fixed value: jobs of history
+HISTORY_JOBS = 50
 #: fixed values: upper bounds of latency buckets in seconds
 LATENCY_BOUNDS = (0.05, 0.1, 0.5, 1.0, 5.0)
 
@@ -24,30 +27,29 @@ def progress(steps: DataFrame, by: list[str], percent: Column, weight: Column, s
     return out.select(*by, value.cast("long").alias("progress"))
 
 
-def p90(values: Column) -> Column:
-    """Aggregate: the element at min(n - 1, int(0.9 n)) of the sorted values."""
-    listed = F.array_sort(F.collect_list(values))
-    return F.element_at(listed, F.least(F.size(listed), F.floor(F.size(listed) * F.lit(0.9)).cast("int") + 1))
+def newest_jobs(jobs: DataFrame, mode: str, created: str, job: str, limit: int = HISTORY_JOBS) -> DataFrame:
+    """The `limit` newest jobs of each mode: what durations are estimated from. Ties go to the greater job."""
+    over = Window.partitionBy(mode).orderBy(F.col(created).desc(), F.col(job).desc())
+    return jobs.withColumn("_n", F.row_number().over(over)).where(F.col("_n") <= limit).drop("_n")
 
 
-def step_statistics(history: DataFrame, by: str, seconds: str) -> DataFrame:
+def step_statistics(history: DataFrame, by: str | list[str], seconds: str) -> DataFrame:
     """median and p90 of each step's durations, n of them.
 
     The exact 90th value is found by rank, not by gathering a step's values: counts of each duration are summed first.
     """
-    from pyspark.sql.window import Window
-
-    counts = history.groupBy(by, seconds).agg(F.count("*").alias("c"))
-    totals = counts.groupBy(by).agg(F.sum("c").alias("n"))
-    over = Window.partitionBy(by).orderBy(seconds).rowsBetween(Window.unboundedPreceding, 0)
+    by = [by] if isinstance(by, str) else by
+    counts = history.groupBy(*by, seconds).agg(F.count("*").alias("c"))
+    totals = counts.groupBy(*by).agg(F.sum("c").alias("n"))
+    over = Window.partitionBy(*by).orderBy(seconds).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("upto", F.sum("c").over(over)).join(totals, by)
     at = lambda place: F.min(F.when(F.col("upto") > place, F.col(seconds)))
     n = F.col("n")
     low, high, tail = F.floor((n - 1) / 2), F.floor(n / 2), F.least(n - 1, F.floor(n * F.lit(0.9)))
-    return ranked.groupBy(by).agg(((at(low) + at(high)) / 2).alias("median"), at(tail).alias("p90"), F.max("n").alias("n"))
+    return ranked.groupBy(*by).agg(((at(low) + at(high)) / 2).alias("median"), at(tail).alias("p90"), F.max("n").alias("n"))
 
 
-def eta(open_steps: DataFrame, statistics: DataFrame, by: str, job: str, percent: Column, jobs_in_history: Column) -> DataFrame:
+def eta(open_steps: DataFrame, statistics: DataFrame, by: str | list[str], job: str, percent: Column, jobs_in_history: Column) -> DataFrame:
     """eta_low, eta_high, confidence of each job: medians and 90th values of its open steps, less what is done of them."""
     left = F.lit(1.0) - percent / 100.0
     out = open_steps.join(statistics, by, "left").groupBy(job).agg(F.sum(F.col("median") * left).alias("_low"), F.sum(F.col("p90") * left).alias("_high"), F.max(jobs_in_history).alias("_n"))
@@ -66,9 +68,9 @@ def latency_bucket(seconds: Column, bounds=LATENCY_BOUNDS) -> Column:
 
 
 def layout_vote(df: DataFrame, by: str, pip: Column, split: Column, share: float = 0.4) -> DataFrame:
-    """`pip_speaker` if enough rows vote for it, else `split` if enough do, else `full_frame`."""
+    """`pip_speaker` if enough rows vote for it, else `split_panel` if enough do, else `full_frame`."""
     n = F.count("*")
-    return df.groupBy(by).agg(F.when(F.count_if(pip) >= share * n, "pip_speaker").when(F.count_if(split) >= share * n, "split").otherwise("full_frame").alias("layout"))
+    return df.groupBy(by).agg(F.when(F.count_if(pip) >= share * n, "pip_speaker").when(F.count_if(split) >= share * n, "split_panel").otherwise("full_frame").alias("layout"))
 
 
 def missing_evidence(counts: DataFrame, columns: list[str]) -> DataFrame:

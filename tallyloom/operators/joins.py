@@ -11,9 +11,12 @@ def asof(probes: DataFrame, lines: DataFrame, key: str, ts: str, payload: list[s
     """Each probe with the payload of the latest line at or before it.
 
     tie: of lines of equal time the `first` or `last` by `order`. miss: a probe before all lines is dropped (`drop`), has
-    nulls (`null`), or gets the `first` line by order. One shuffle by key, linear in rows: both sides are put in one order
-    and the last line is carried on.
+    nulls (`null`), gets the `first` line by order that has a time, or the line by order before all (`zero`), whether it has a time
+    or not. Lines without a time are never the latest. One shuffle by key, linear in rows: both sides are put in one order and the
+    last line is carried on.
     """
+    every = lines
+    lines = lines.where(F.col(ts).isNotNull())
     kept = F.struct(*[F.col(c) for c in payload])
     carried = "_line"
     if tie == "first":  # of equal times only the first line counts
@@ -26,6 +29,9 @@ def asof(probes: DataFrame, lines: DataFrame, key: str, ts: str, payload: list[s
     if miss == "first":
         least = F.min(F.when(F.col("_side") == 0, F.struct("_order", F.col(carried)))).over(Window.partitionBy(key))
         both = both.withColumn(carried, F.coalesce(carried, least[carried]))
+    if miss == "zero":
+        least = every.groupBy(key).agg(F.min_by(kept, order).alias("_zero"))
+        both = both.where("_side = 1").join(least, key, "left").withColumn(carried, F.coalesce(carried, "_zero"))
     out = both.where("_side = 1").select("_probe.*", *[F.col(f"{carried}.{c}").alias(c) for c in payload], F.col(carried).isNull().alias("_missed"))
     return (out.where("NOT _missed") if miss == "drop" else out).drop("_missed")
 
@@ -88,7 +94,8 @@ def missing_slots(owners: DataFrame, count: Column, existing: DataFrame, key: st
     return wanted.join(existing, [key, "slot_index"], "left_anti")
 
 
-def duplicates(jobs: DataFrame, owner: str, kind: Column, native_id: Column, url: str, order: str) -> DataFrame:
-    """Each job with the earliest earlier job of the same owner, kind and id (the raw URL where there is no id), if any."""
-    over = Window.partitionBy(owner, kind, F.coalesce(native_id, F.col(url))).orderBy(order)
-    return jobs.withColumn("duplicate_of", F.when(F.row_number().over(over) > 1, F.first(order).over(over)))
+def duplicates(jobs: DataFrame, owner: str, kind: Column, native_id: Column, url: str, order: str, cancelled: Column | None = None) -> DataFrame:
+    """Each job with the earliest earlier job of the same owner, kind and id (the raw URL where there is no id) that is not cancelled, if any."""
+    over = Window.partitionBy(owner, kind, native_id.isNull(), F.coalesce(native_id, F.col(url))).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    alive = F.lit(True) if cancelled is None else ~F.coalesce(cancelled, F.lit(False))
+    return jobs.withColumn("duplicate_of", F.min(F.when(alive, F.col(order))).over(over))

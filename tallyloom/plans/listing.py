@@ -224,6 +224,25 @@ def eta_range(spark, sf):
     return out.select("job", F.round("eta_low", 0).alias("eta_low"), F.round("eta_high", 0).alias("eta_high"), "confidence")
 
 
+@query("""WITH j AS (SELECT * FROM (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderstatus <> 'O') WHERE r <= 8),
+h AS (SELECT o_custkey, l_returnflag AS step, (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 1e6 AS seconds FROM lineitem JOIN orders USING (o_orderkey) JOIN (SELECT o_orderkey FROM j) USING (o_orderkey)),
+s AS (SELECT o_custkey, step, median(seconds) AS m, list_sort(list(seconds))[least(count(*), CAST(floor(count(*) * 0.9) AS BIGINT) + 1)] AS p FROM h GROUP BY ALL), n AS (SELECT o_custkey, count(*) AS n FROM j GROUP BY 1),
+e AS (SELECT l_orderkey AS job, sum(m * (1 - round(l_discount * 1000) / 100)) AS lo, sum(p * (1 - round(l_discount * 1000) / 100)) AS hi, coalesce(any_value(n), 0) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus = 'O' LEFT JOIN s ON s.o_custkey = orders.o_custkey AND step = l_returnflag LEFT JOIN n ON n.o_custkey = orders.o_custkey WHERE l_discount < 0.1 GROUP BY 1)
+SELECT job, CASE WHEN n >= 3 THEN round(round(coalesce(lo, 0), 1), 0) END AS eta_low, CASE WHEN n >= 3 THEN round(greatest(round(coalesce(lo, 0), 1), round(coalesce(hi, 0), 1)), 0) END AS eta_high, CASE WHEN n >= 10 THEN 'high' WHEN n >= 5 THEN 'medium' WHEN n >= 3 THEN 'low' ELSE 'cold' END AS confidence FROM e"""
+.replace("JOIN orders USING (o_orderkey)", "JOIN orders ON l_orderkey = o_orderkey"))
+def eta_by_mode(spark, sf):
+    """From the newest finished jobs of the same mode (a customer), eight at most, so that all confidences but the highest occur."""
+    orders, items = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    jobs = aggregates.newest_jobs(orders.where("o_orderstatus <> 'O'"), "o_custkey", "o_orderdate", "o_orderkey", 8)
+    history = items.join(jobs, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", F.col("l_returnflag").alias("step"), times.seconds_between(F.col("o_orderdate"), F.col("l_shipdate")).alias("seconds"))
+    statistics = aggregates.step_statistics(history, ["o_custkey", "step"], "seconds").drop("n")
+    known = jobs.groupBy("o_custkey").agg(F.count("*").alias("jobs"))
+    steps = items.where("l_discount < 0.1").join(orders.where("o_orderstatus = 'O'"), F.col("l_orderkey") == F.col("o_orderkey")).join(known, "o_custkey", "left")
+    steps = steps.select("o_custkey", F.col("l_orderkey").alias("job"), F.col("l_returnflag").alias("step"), F.round(F.col("l_discount") * 1000).alias("pct"), F.coalesce("jobs", F.lit(0)).alias("jobs"))
+    out = aggregates.eta(steps, statistics, ["o_custkey", "step"], "job", F.col("pct"), F.col("jobs"))
+    return out.select("job", F.round("eta_low", 0).alias("eta_low"), F.round("eta_high", 0).alias("eta_high"), "confidence")
+
+
 @query("""SELECT CASE WHEN v < 0.05 THEN '0.05' WHEN v < 0.1 THEN '0.1' WHEN v < 0.5 THEN '0.5' WHEN v < 1 THEN '1.0' WHEN v < 5 THEN '5.0' ELSE 'inf' END AS bucket, count(*) AS n
 FROM (SELECT value / 20 AS v FROM events) GROUP BY 1""")
 def histogram(spark, sf):
@@ -241,7 +260,7 @@ def count_where(spark, sf):
 
 
 @query("""SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'click') >= 0.4 * count(*) THEN 'pip_speaker'
-WHEN count(*) FILTER (WHERE event_type = 'view') >= 0.4 * count(*) THEN 'split' ELSE 'full_frame' END AS layout FROM events GROUP BY user_id""")
+WHEN count(*) FILTER (WHERE event_type = 'view') >= 0.4 * count(*) THEN 'split_panel' ELSE 'full_frame' END AS layout FROM events GROUP BY user_id""")
 def vote_threshold(spark, sf):
     return aggregates.layout_vote(table(spark, sf, "events"), "user_id", F.col("event_type") == "click", F.col("event_type") == "view")
 

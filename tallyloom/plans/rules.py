@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import text, urls
+from ..functions import nested, rules, text, urls
 from ..operators import boundary
 from .registry import query, table
 
@@ -35,10 +35,11 @@ def first_or_declared(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.coalesce(F.nullif(F.get(F.split("text", " "), F.lit(4)), F.lit("")), "lang").alias("model"))
 
 
-@query("SELECT doc_id, md5(CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10))) ELSE text END) AS rest FROM documents")
+@query(r"""SELECT doc_id, md5(CASE WHEN strpos(t, '[00:01:02]') > 0 THEN substr(t, strpos(t, '[00:01:02]')) ELSE t END) AS rest FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE replace(text, chr(10), chr(10) || '[00:01:02] ') END AS t FROM documents)""")
 def text_from_mark(spark, sf):
-    at = F.regexp_instr("text", F.lit("\n"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(F.when(at > 0, F.substring("text", at, F.length("text"))).otherwise(F.col("text"))).alias("rest"))
+    """Text from its first time stamp on, all of it if there is none."""
+    stamped = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.replace("text", F.lit("\n"), F.lit("\n[00:01:02] ")))
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.from_first_stamp(stamped)).alias("rest"))
 
 
 @query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'F' THEN 'captions' END, (SELECT 'subtitles' FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 40 LIMIT 1), 'speech') AS source FROM orders""")
@@ -60,9 +61,13 @@ def catalogue_probe(spark, sf):
     return table(spark, sf, "part").select("p_partkey", (F.exists(names, lambda m: m == "ring") | F.col("p_type").like("ECO%")).alias("listed"))
 
 
-@query("""SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_size = s_nationkey WHERE p_retailprice < 950""")
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN list_sort(models) WHEN s_suppkey % 3 = 0 OR s_suppkey % 5 = 0 THEN [] ELSE list_filter(['m' || s_nationkey % 4], lambda m: list_contains(models, m)) END AS models
+FROM (SELECT s_suppkey, s_nationkey, ['m0', 'm1', 'm' || s_suppkey % 7] AS models FROM supplier)""")
 def catalogue_intersection(spark, sf):
-    return table(spark, sf, "part").where("p_retailprice < 950").join(table(spark, sf, "supplier"), F.col("p_size") == F.col("s_nationkey")).select("p_partkey", "s_suppkey")
+    """What a manager lists, less what does not run: the current model if it is ready, running and listed; others' lists stand."""
+    n = F.col("s_suppkey")
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.array(F.lit("m0"), F.lit("m1"), F.concat(F.lit("m"), (n % 7).cast("string"))).alias("listed"), (n % 4 != 0).alias("managed"), (n % 3 != 0).alias("ready"), (n % 5 != 0).alias("running"), F.concat(F.lit("m"), (F.col("s_nationkey") % 4).cast("string")).alias("current"))
+    return rows.select("s_suppkey", F.array_sort(nested.live_models(F.col("listed"), F.col("managed"), F.col("ready"), F.col("running"), F.col("current"))).alias("models"))
 
 
 @query("SELECT c_mktsegment AS key, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
@@ -77,10 +82,18 @@ def image_references(spark, sf):
     return rows.select("event_id", F.explode(F.regexp_extract_all("raw", F.lit(r"!\[[^\]]*\]\(([^)]+)\)"), F.lit(1))).alias("ref"), F.regexp_replace("raw", r"\]\(/img/", "](images/").alias("markdown"))
 
 
-@query("""SELECT c_custkey, regexp_matches(c_name, '^[A-Za-z0-9_#-]{3,50}$') AS valid_name, CASE WHEN length(c_name) > 17 THEN 'too long' WHEN NOT regexp_matches(c_name, '^Customer') THEN 'pattern' END AS reason FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'length' WHEN contains(c_name, '#') THEN 'characters' END AS user_name, CASE c_custkey % 6 WHEN 0 THEN 'length' WHEN 1 THEN 'upper' WHEN 2 THEN 'lower' WHEN 3 THEN 'digit' WHEN 4 THEN 'length' END AS password,
+CASE WHEN c_custkey % 4 IN (1, 3) THEN false ELSE true END AS language, CASE c_custkey % 5 WHEN 2 THEN 'side_car-1' END AS preference, c_custkey % 5 IN (3, 4) AS preference_refused FROM customer""")
 def validators(spark, sf):
-    name = F.col("c_name")
-    return table(spark, sf, "customer").select("c_custkey", name.rlike("^[A-Za-z0-9_#-]{3,50}$").alias("valid_name"), F.when(F.length(name) > 17, "too long").when(~name.rlike("^Customer"), "pattern").alias("reason"))
+    """Names, passwords, caption languages and preferences, each with its reason or its normal form."""
+    n = F.col("c_custkey")
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    name = F.when(n % 5 == 0, "ab").otherwise(F.col("c_name"))
+    preference, refused = rules.preference(pick(" auto ", "", " side_car-1 ", "a/b", "http://x"))
+    return table(spark, sf, "customer").select(
+        "c_custkey", rules.user_name(name).alias("user_name"), rules.password(pick("Ab3", "abcdefg3", "ABCDEFG3", "Abcdefgh", "A3" + "x" * 127, "Abcdefg3")).alias("password"),
+        rules.language_code(pick("en", "e", "zh-Hans", "english-x")).alias("language"), preference.alias("preference"), refused.alias("preference_refused"),
+    )
 
 
 @query("""SELECT doc_id, left(string_split(p, '.')[1], 100) AS title, md5(p) AS content FROM (SELECT doc_id, unnest(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10))[1:5]) AS p FROM documents) WHERE length(p) > 50""")
@@ -90,18 +103,21 @@ def heuristic_sections(spark, sf):
     return rows.select("doc_id", "s.title", F.md5("s.content").alias("content"))
 
 
-@query("""SELECT doc_id, md5(left(text, 3000) || coalesce(list_aggregate(list_transform(list_filter(string_split(substr(text, 3001), chr(10)), lambda x: regexp_matches(x, '^[A-Z]')), lambda x: chr(10) || x), 'string_agg', ''), '')) AS prompt FROM documents""")
+_PROMPT = r"""WITH m AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 3 = 0 THEN '## [00:01:02] ' || x ELSE x END), chr(10)) AS t FROM documents),
+r AS (SELECT doc_id, t, list_filter(string_split(substr(t, 30001), chr(10)), lambda x: regexp_matches(x, '^## \[\d{2}:\d{2}:\d{2}\]')) AS c FROM m)
+SELECT doc_id, md5(CASE WHEN length(t) <= 30000 THEN t WHEN len(c) > 0 THEN left(t, 30000) || chr(10) || '...' || chr(10) || array_to_string(c, chr(10)) ELSE left(t, 30000) END) AS prompt FROM r"""
+
+
+@query(_PROMPT)
 def truncated_prompt(spark, sf):
-    """The first characters, and of the rest the lines that begin with a capital in place of chapter marks."""
-    later = F.filter(F.split(F.substring("text", 3001, 2_000_000_000), "\n"), lambda line: line.rlike("^[A-Z]"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(F.concat(F.left("text", F.lit(3000)), F.array_join(F.transform(later, lambda x: F.concat(F.lit("\n"), x)), ""))).alias("prompt"))
+    """The first 30,000 characters, and of the rest the chapter lines; every third line is made one."""
+    marked = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 2, F.concat(F.lit("## [00:01:02] "), x)).otherwise(x)), "\n")
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.prompt_text(marked)).alias("prompt"))
 
 
-@query("""SELECT doc_id, md5(left(text, 30000) || coalesce(list_aggregate(list_transform(list_filter(string_split(substr(text, 30001), chr(10)), lambda x: regexp_matches(x, '^[A-Z]')), lambda x: chr(10) || x), 'string_agg', ''), '')) AS prompt FROM documents""")
+@query(_PROMPT)
 def truncated_prompt_whole(spark, sf):
-    """As truncated_prompt, with the 30,000 characters that the reference keeps."""
-    later = F.filter(F.split(F.substring("text", 30_001, 2_000_000_000), "\n"), lambda line: line.rlike("^[A-Z]"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(F.concat(F.left("text", F.lit(30_000)), F.array_join(F.transform(later, lambda x: F.concat(F.lit("\n"), x)), ""))).alias("prompt"))
+    return truncated_prompt(spark, sf)
 
 
 @query("SELECT doc_id, CASE WHEN length(text) % 2 = 0 THEN 'incremental' ELSE 'transition' END AS label FROM documents")

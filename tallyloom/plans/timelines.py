@@ -27,6 +27,17 @@ def lines(spark, sf):
     return events(spark, sf).where("event_type = 'click'").select("user_id", "t", (F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")) - 1).cast("bigint").alias("i"))
 
 
+_STAMPED = "l AS (SELECT user_id, CASE WHEN event_id % 5 > 0 THEN floor(t / 21600) * 21600 END AS t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS i FROM e WHERE event_type = 'click')"
+
+
+def stamped(spark, sf):
+    """Lines with ties (stamps in steps of six hours), every fifth event's without a stamp."""
+    from pyspark.sql.window import Window
+
+    rows = events(spark, sf).where("event_type = 'click'").withColumn("i", (F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")) - 1).cast("bigint"))
+    return rows.select("user_id", F.when(F.col("event_id") % 5 > 0, F.floor(F.col("t") / 21600) * 21600.0).alias("t"), "i")
+
+
 def _asof(spark, sf, tie, miss):
     probes = events(spark, sf).where("event_type = 'error'").select("event_id", "user_id", "t")
     return joins.asof(probes, lines(spark, sf), "user_id", "t", ["i"], "i", tie, miss).select("event_id", F.col("i").alias("line"))
@@ -37,16 +48,21 @@ def asof_backward_drop(spark, sf):
     return _asof(spark, sf, "first", "drop")
 
 
-@query(f"""WITH {_E}, {_LINES} SELECT p.event_id, coalesce(l.i, f.i) AS line FROM e p ASOF LEFT JOIN l ON p.user_id = l.user_id AND p.t >= l.t
-LEFT JOIN (SELECT user_id, min(i) AS i FROM l GROUP BY 1) f ON f.user_id = p.user_id WHERE p.event_type = 'error'""")
+@query(f"""WITH {_E}, {_STAMPED} SELECT p.event_id, coalesce(max_by(l.i, {{'t': l.t, 'i': -l.i}}), 0) AS line FROM e p LEFT JOIN l ON p.user_id = l.user_id AND p.t >= l.t WHERE p.event_type = 'error' AND p.value > 20 GROUP BY 1""")
 def asof_backward_first_line(spark, sf):
-    return _asof(spark, sf, "first", "first")
+    """Described probes only; the first of equal stamps; before all stamps the first line, stamped or not."""
+    probes = events(spark, sf).where("event_type = 'error' AND value > 20").select("event_id", "user_id", "t")
+    found = joins.asof(probes, stamped(spark, sf), "user_id", "t", ["i"], "i", "first", "zero")
+    return found.select("event_id", F.coalesce("i", F.lit(0)).cast("bigint").alias("line"))
 
 
-@query(f"""WITH {_E}, {_LINES} SELECT p.event_id, coalesce(l.i, f.i) AS line FROM e p ASOF LEFT JOIN l ON p.user_id = l.user_id AND p.t >= l.t
-LEFT JOIN (SELECT user_id, min(i) AS i FROM l GROUP BY 1) f ON f.user_id = p.user_id WHERE p.event_type = 'error'""")
+@query(f"""WITH {_E}, {_STAMPED} SELECT p.event_id, coalesce(max_by(l.i, {{'t': l.t, 'i': l.i}}), min(f.i)) AS line FROM e p JOIN (SELECT user_id, min(i) AS i FROM l WHERE t IS NOT NULL GROUP BY 1) f ON f.user_id = p.user_id
+LEFT JOIN l ON p.user_id = l.user_id AND p.t >= l.t WHERE p.event_type = 'error' GROUP BY 1""")
 def asof_backward_ui(spark, sf):
-    return _asof(spark, sf, "last", "first")
+    """The last of equal stamps; before all stamps the first stamped line; nothing where no line is stamped."""
+    probes = events(spark, sf).where("event_type = 'error'").select("event_id", "user_id", "t")
+    found = joins.asof(probes, stamped(spark, sf), "user_id", "t", ["i"], "i", "last", "first")
+    return found.where("i IS NOT NULL").select("event_id", F.col("i").alias("line"))
 
 
 @query(f"WITH {_E}, {_LINES} SELECT p.event_id, l.i AS line FROM e p ASOF LEFT JOIN l ON p.user_id = l.user_id AND p.t >= l.t WHERE p.event_type = 'error'")

@@ -68,5 +68,5 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def compared(manifested: DataFrame, found: DataFrame) -> DataFrame:
     """path and problem of manifest entries: invalid path, missing, checksum mismatch; null where all is well."""
     both = manifested.join(found.select("path", F.col("sha256").alias("_found")), "path", "left")
-    invalid = F.col("path").contains("..") | F.col("path").startswith("/")
+    invalid = F.col("path").rlike(r"(^|/)\.\.(/|$)") | F.col("path").startswith("/")
     return both.select("path", F.when(invalid, "invalid path").when(F.col("_found").isNull(), "missing").when(F.col("_found") != F.col("sha256"), "checksum mismatch").alias("problem"))
