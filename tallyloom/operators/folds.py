@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+#: fixed values: failures running that restart, restarts in a window, and its seconds
+FAILURES, RESTARTS, RESTART_WINDOW = 3, 3, 3600.0
+
 
 def anchored(df: DataFrame, key: str, ts: str, gap: float, order: str, strict: bool = False, first: float | None = 0.0) -> DataFrame:
     """df with `kept`: whether a row is `gap` or more (strict: more) after the last kept row of its key.
@@ -65,6 +68,37 @@ def fixed_windows(df: DataFrame, key: str, ts: str, seconds: float, limit: int,
     return opened.drop("kept").withColumn("denied", F.col("place") > limit)
 
 
+def watchdog(df: DataFrame, key: str, ts: str, order: str, ok: str, dependencies: str, failures: int = FAILURES, most: int = RESTARTS, window: float = RESTART_WINDOW) -> DataFrame:
+    """df with `action` and the count of `failures` after each check of a key, in order.
+
+    ok: the count goes back to 0. Else it goes up, and the action is `dependency` if those are down, `waiting` below `failures` of
+    them, `limited` if there were `most` restarts in the last `window` seconds, or `restart`, after which the count is 0.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("action", T.StringType()), T.StructField("failures", T.IntegerType())])
+
+    def run(batches):
+        owner, count, restarts = None, 0, []
+        for batch in batches:
+            actions, counts = [], []
+            for k, t, good, whole in zip(*(batch.column(c).to_pylist() for c in (key, ts, ok, dependencies)), strict=True):
+                if owner != (k,):
+                    owner, count, restarts = (k,), 0, []
+                count = 0 if good else count + 1
+                if good or not whole or count < failures:
+                    action = "ok" if good else "waiting" if whole else "dependency"
+                else:
+                    restarts = [r for r in restarts if r >= t - window]
+                    action = "limited" if len(restarts) >= most else "restart"
+                    if action == "restart":
+                        restarts.append(t)
+                        count = 0
+                actions.append(action)
+                counts.append(count)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(actions, pa.string()), pa.array(counts, pa.int32())], [*batch.schema.names, "action", "failures"])
+
+    return df.repartition(key).sortWithinPartitions(key, ts, order).mapInArrow(run, schema)
+
+
 def packed(items: Column, limit: int) -> Column:
     """Greedy packing of an array of struct(ts, text): segments of start_time, end_time, n_items, length, sequence.
 

@@ -57,16 +57,34 @@ def joined_texts(pairs: DataFrame, by: list[str], order: list[str], text: str) -
     return pairs.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text))), lambda s: s[text]), " ").alias("text"))
 
 
-def in_range(points: DataFrame, ranges: DataFrame, key: str, ts: str) -> DataFrame:
-    """Points with the ranges [start, end) that hold them; a null start or end is open."""
+def in_range(points: DataFrame, ranges: DataFrame, key: str, ts: str, width: float | None = None) -> DataFrame:
+    """Points with the ranges [start, end) that hold them; a null start or end is open.
+
+    width: where a key has many rows, both sides are joined by time buckets of this width; a range stands in those between the
+    first and the last point of its key, and a point is in one bucket, so a pair is found once.
+    """
     c = F.col(ts)
-    return points.join(ranges, key).where((F.col("start").isNull() | (c >= F.col("start"))) & (F.col("end").isNull() | (c < F.col("end"))))
+    condition = (F.col("start").isNull() | (c >= F.col("start"))) & (F.col("end").isNull() | (c < F.col("end")))
+    if not width:
+        return points.join(ranges, key).where(condition)
+    known = points.groupBy(key).agg(F.floor(F.min(c) / width).alias("_first"), F.floor(F.max(c) / width).alias("_last"))
+    low = F.greatest("_first", F.coalesce(F.floor(F.col("start") / width), "_first"))
+    high = F.least("_last", F.coalesce(F.floor(F.col("end") / width), "_last"))
+    dealt = ranges.join(known, key).withColumn("_bucket", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")))).drop("_first", "_last")
+    return points.withColumn("_bucket", F.floor(c / width)).join(dealt, [key, "_bucket"]).where(condition).drop("_bucket")
 
 
 def locate(bounds: DataFrame, lines: DataFrame, key: str, ts: str, index: str, default: Column) -> DataFrame:
-    """bounds (key, bound) with the index of the first line at or after the bound, `default` if there is none."""
-    hit = bounds.join(lines.select(key, F.col(ts).alias("_ts"), F.col(index).alias("_index")), key, "left").groupBy(*bounds.columns)
-    return hit.agg(F.min(F.when(F.col("_ts") >= F.col("bound"), F.col("_index"))).alias("_at")).select(*bounds.columns, F.coalesce("_at", default).alias("line"))
+    """bounds (key, bound) with the least index of a line at or after the bound, `default` if there is none.
+
+    One order of both sides, from the latest on, in which the least index so far is carried on.
+    """
+    kept = F.struct(*bounds.columns)
+    left = bounds.select(key, F.col("bound").cast("double").alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_index"), kept.alias("_bound"))
+    right = lines.where(F.col(ts).isNotNull()).select(key, F.col(ts).cast("double").alias("_ts"), F.lit(0).alias("_side"), F.col(index).cast("long").alias("_index"))
+    over = Window.partitionBy(key).orderBy(F.col("_ts").desc_nulls_last(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_at", F.min("_index").over(over)).where("_side = 1")
+    return both.select("_bound.*", F.coalesce(F.when(F.col("_ts").isNotNull(), F.col("_at")), default).alias("line"))
 
 
 def merge_before(lines: DataFrame, marks: DataFrame, key: str, ts: str, index: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 #: fixed values: seconds after which a running step is an orphan, a lease expires, a quarantined slot is free again, and a
 #: publishing claim is stale
 ORPHAN_SECONDS, LEASE_SECONDS, QUARANTINE_SECONDS, CLAIM_SECONDS = 7200, 1200, 900, 300
+#: fixed value: seconds after which what a sidecar said of itself is stale
+STALE_SECONDS = 30
 #: fixed values: steps of a job and the flags (columns of the job) one of which must be set, or they are skipped
 STEPS = (("download", ("with_snapshots", "with_slides")), ("transcribe", ()), ("snapshots", ("with_snapshots",)), ("slides", ("with_slides",)), ("summarize", ()), ("export", ()))
 #: fixed values: queued jobs that are looked at together, and reasons of those that stay

@@ -91,7 +91,7 @@ def interval_overlap(spark, sf):
 @query(f"WITH {_E}, {_SPANS} SELECT e.event_id, s.n AS slide FROM e JOIN s ON e.user_id = s.user_id AND e.t >= s AND e.t < x WHERE event_type = 'error'")
 def range_bucket(spark, sf):
     points = events(spark, sf).where("event_type = 'error'").select("event_id", "user_id", "t")
-    return joins.in_range(points, spans(spark, sf), "user_id", "t").select("event_id", "slide")
+    return joins.in_range(points, spans(spark, sf), "user_id", "t", 86400.0).select("event_id", "slide")
 
 
 @query(f"""WITH {_E}, {_LINES}, b AS (SELECT user_id, CAST(432000.0 * unnest([1, 3, 5]) AS DOUBLE) AS bound FROM (SELECT DISTINCT user_id FROM e))

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import transitions
+from ..functions import times
+from ..operators import folds, transitions
 from ..sources import job_documents, metrics
 from ..streaming import events as streams
 from .registry import query, table
@@ -16,50 +17,128 @@ AS_OF = "TIMESTAMP_NTZ '2001-01-01 00:00:00'"
 
 def steps(spark, sf):
     rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("job_id"), F.col("l_returnflag").alias("name")).agg(F.max("l_shipdate").alias("started_at"), F.count("*").alias("attempt"), F.max("l_linenumber").alias("token"))
-    status = F.when(F.col("token") < 3, "pending").when(F.col("token") < 6, "running").otherwise("completed")
-    return rows.select("job_id", "name", status.alias("status"), "attempt", "started_at", F.col("token").cast("string").alias("claim_token"))
+    status = F.element_at(F.array(*map(F.lit, STATUSES)), F.col("token"))
+    return rows.select("job_id", "name", status.alias("status"), "attempt", "started_at", F.col("token").cast("string").alias("claim_token"), (F.col("job_id") % 100).cast("int").alias("percent"))
 
 
-_STEPS = """s AS (SELECT l_orderkey AS job_id, l_returnflag AS name, CASE WHEN max(l_linenumber) < 3 THEN 'pending' WHEN max(l_linenumber) < 6 THEN 'running' ELSE 'completed' END AS status,
-count(*) AS attempt, max(l_shipdate) AS started_at, CAST(max(l_linenumber) AS VARCHAR) AS claim_token FROM lineitem GROUP BY 1, 2)"""
+#: fixed value: the state of a step by its last line's number, from 1
+STATUSES = ("pending", "running", "failed", "running", "cancelled", "completed", "running")
+_STEPS = f"""s AS (SELECT l_orderkey AS job_id, l_returnflag AS name, {list(STATUSES)}[max(l_linenumber)] AS status,
+count(*) AS attempt, max(l_shipdate) AS started_at, CAST(max(l_linenumber) AS VARCHAR) AS claim_token, l_orderkey % 100 AS percent FROM lineitem GROUP BY 1, 2)"""
 
 
-@query(f"""WITH {_STEPS}, c AS (SELECT *, job_id % 2 = 0 AND (status = 'pending' OR status = 'running' AND epoch_us(TIMESTAMP '2001-01-01') - epoch_us(started_at) > 7200000000) AS claimed FROM s)
-SELECT job_id, name, CASE WHEN claimed THEN 'running' ELSE status END AS status, attempt + CAST(claimed AS BIGINT) AS attempt, CASE WHEN claimed THEN 'new' ELSE claim_token END AS claim_token, claimed FROM c""")
+@query(f"""WITH {_STEPS}, a AS (SELECT s.*, o_orderstatus <> 'P' AND job_id % 2 = 0 AS may, CASE WHEN job_id % 4 = 0 THEN '2' ELSE 'new' END AS token FROM s JOIN orders ON o_orderkey = job_id),
+b AS (SELECT *, may AND status = 'running' AND claim_token = token AS again FROM a), c AS (SELECT *, may AND NOT again AND (status IN ('pending', 'failed', 'cancelled') OR status = 'running' AND epoch_us(TIMESTAMP '2001-01-01') - epoch_us(started_at) > 7200000000) AS fresh FROM b)
+SELECT job_id, name, CASE WHEN fresh THEN 'running' ELSE status END AS status, attempt + CAST(fresh AS BIGINT) AS attempt, CASE WHEN fresh THEN token ELSE claim_token END AS claim_token, fresh OR again AS claimed FROM c""")
 def step_claim(spark, sf):
+    """Jobs in state P are cancelled; every fourth job's steps are claimed under a token that some run under already."""
     rows = steps(spark, sf)
-    commands = rows.where("job_id % 2 = 0").select("job_id", "name", F.lit("new").alias("claim_token"))
-    return transitions.claim_steps(rows, commands, F.expr(AS_OF)).drop("started_at")
+    jobs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "P", "cancelled").otherwise("processing").alias("status"))
+    commands = rows.where("job_id % 2 = 0").select("job_id", "name", F.when(F.col("job_id") % 4 == 0, "2").otherwise("new").alias("claim_token"))
+    return transitions.claim_steps(rows, jobs, commands, F.expr(AS_OF)).drop("started_at")
 
 
-@query(f"""WITH {_STEPS}, c AS (SELECT *, job_id % 3 = 0 AND status = 'running' AND claim_token = '5' AS applied FROM s)
-SELECT job_id, name, CASE WHEN applied THEN 'completed' ELSE status END AS status, CASE WHEN applied THEN 100 ELSE 0 END AS percent, applied FROM c""")
+@query(f"""WITH {_STEPS}, c AS (SELECT *, CASE job_id % 5 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'skipped' WHEN 3 THEN 'retry' END AS o FROM s),
+d AS (SELECT *, o IN ('completed', 'failed') AND status = 'running' AND claim_token = '4' AS done, o = 'skipped' AND status = 'pending' AS skip, o = 'retry' AND status IN ('failed', 'cancelled') AS retry FROM c)
+SELECT job_id, name, CASE WHEN retry THEN 'pending' WHEN done OR skip THEN o ELSE status END AS status, CASE WHEN retry THEN 0 WHEN skip OR done AND o = 'completed' THEN 100 ELSE percent END AS percent,
+CASE WHEN NOT coalesce(retry, false) THEN claim_token END AS claim_token, coalesce(retry, false) AS restarted, coalesce(done OR skip, false) AS finished, coalesce(done OR skip OR retry, false) AS applied FROM d""")
 def step_finish(spark, sf):
-    rows = steps(spark, sf).withColumns({"percent": F.lit(0), "finished_at": F.lit(None).cast("timestamp_ntz")})
-    commands = rows.where("job_id % 3 = 0").select("job_id", "name", F.lit("5").alias("token"), F.lit("completed").alias("outcome"))
-    return transitions.finish_steps(rows, commands, F.expr(AS_OF)).drop("finished_at")
+    rows = steps(spark, sf).withColumn("finished_at", F.lit(None).cast("timestamp_ntz"))
+    n = F.col("job_id") % 5
+    commands = rows.where(n < 4).select("job_id", "name", F.lit("4").alias("token"), F.when(n == 0, "completed").when(n == 1, "failed").when(n == 2, "skipped").otherwise("retry").alias("outcome"))
+    out = transitions.finish_steps(rows, commands, F.expr(AS_OF))
+    return out.select("job_id", "name", "status", "percent", "claim_token", F.col("started_at").isNull().alias("restarted"), F.col("finished_at").isNotNull().alias("finished"), "applied")
 
 
-def slots(spark, sf):
-    s = table(spark, sf, "supplier")
-    state = F.when(F.col("s_suppkey") % 3 == 0, "free").when(F.col("s_suppkey") % 3 == 1, "leased").otherwise("quarantined")
-    return s.select(F.col("s_suppkey").alias("slot_id"), state.alias("state"), F.when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("u"), F.col("s_nationkey").cast("string"))).alias("claim_exec_uuid"), F.col("s_nationkey").alias("generation"), F.expr(AS_OF).alias("expires_at"), (F.expr(AS_OF) - F.expr("make_interval(0, 0, 0, 0, 0, s_nationkey, 0)")).alias("heartbeat_at"))
+@query(f"""WITH {_STEPS}, c AS (SELECT *, coalesce(job_id % 3 > 0 AND status = 'running' AND claim_token = '4' AND percent <= job_id % 130 AND job_id % 130 <= 100, false) AS applied FROM s)
+SELECT job_id, name, CASE WHEN applied THEN job_id % 130 ELSE percent END AS percent, applied FROM c""")
+def step_progress(spark, sf):
+    rows = steps(spark, sf)
+    commands = rows.where("job_id % 3 > 0").select("job_id", "name", F.lit("4").alias("token"), (F.col("job_id") % 130).cast("int").alias("to"))
+    return transitions.advance_steps(rows, commands)
 
 
-@query("""SELECT s_suppkey AS slot_id, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 THEN 'leased' WHEN s_suppkey % 3 = 1 AND s_suppkey % 2 = 1 AND s_nationkey % 2 = 0 THEN 'free' WHEN s_suppkey % 3 = 0 THEN 'free' WHEN s_suppkey % 3 = 1 THEN 'leased' ELSE 'quarantined' END AS state,
-CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 THEN s_nationkey + 1 ELSE s_nationkey END AS generation, s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 OR s_suppkey % 3 = 1 AND s_suppkey % 2 = 1 AND s_nationkey % 2 = 0 AS applied FROM supplier""")
+def slots(spark, sf):
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    state = F.when(k % 3 == 0, "free").when(k % 3 == 1, "leased").otherwise("expired")
+    back = lambda n: F.expr(AS_OF) - F.make_interval(mins=n)
+    held = k % 3 > 0
+    return s.select(
+        k.alias("slot_id"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("sidecar_id"), k.cast("int").alias("slot_index"), (k % 11 > 0).alias("enabled"), state.alias("state"), F.when(held, k).alias("job_id"),
+        F.when(held, F.concat(F.lit("u"), F.col("s_nationkey").cast("string"))).alias("claim_exec_uuid"), F.col("s_nationkey").alias("generation"), F.when(k % 3 == 1, back(F.col("s_nationkey"))).alias("heartbeat_at"),
+        F.when(held, F.expr(AS_OF) + F.make_interval(mins=F.lit(10) - F.col("s_nationkey"))).alias("expires_at"), back(F.col("s_nationkey")).alias("updated_at"),
+    )
+
+
+@query("""WITH c AS (SELECT *, s_suppkey % 3 = 1 AND s_nationkey % 2 = 0 AND s_suppkey % 5 > 0 AS mine FROM supplier)
+SELECT s_suppkey AS slot_id, CASE WHEN s_suppkey % 3 = 0 OR mine AND s_suppkey % 2 = 1 THEN 'free' WHEN s_suppkey % 3 = 1 THEN 'leased' ELSE 'expired' END AS state, CASE WHEN s_suppkey % 3 > 0 AND NOT (mine AND s_suppkey % 2 = 1) THEN 'u' || s_nationkey END AS claim_exec_uuid,
+s_nationkey AS generation, CASE WHEN mine AND s_suppkey % 2 = 0 THEN 20 WHEN s_suppkey % 3 > 0 AND NOT mine THEN 10 - s_nationkey END AS minutes, mine AS applied FROM c""")
 def lease_commands(spark, sf):
+    """Heartbeats of even slots, releases of odd ones; some come from an older generation and some from another holder."""
     rows = slots(spark, sf)
-    even = F.col("slot_id") % 2 == 0
-    generation = F.when(F.col("generation") % 2 == 0, F.col("generation")).otherwise(-1)  # odd ones come from an older holder
-    commands = rows.where(even & (F.col("slot_id") % 3 == 0) | ~even).select("slot_id", F.when(even, "acquire").otherwise("release").alias("command"), F.coalesce("claim_exec_uuid", F.lit("new")).alias("exec_uuid"), generation.alias("generation"))
-    return transitions.lease_slots(rows, commands, F.expr(AS_OF)).select("slot_id", "state", "generation", "applied")
+    generation = F.when(F.col("generation") % 2 == 0, F.col("generation")).otherwise(-1)
+    holder = F.when(F.col("slot_id") % 5 > 0, F.coalesce("claim_exec_uuid", F.lit("new"))).otherwise("other")
+    commands = rows.select("slot_id", F.when(F.col("slot_id") % 2 == 0, "heartbeat").otherwise("release").alias("command"), holder.alias("exec_uuid"), generation.alias("generation"))
+    out = transitions.lease_slots(rows, commands, F.expr(AS_OF))
+    left = F.floor(times.seconds_between(F.expr(AS_OF), F.col("expires_at")) / 60).cast("int")
+    return out.select("slot_id", "state", "claim_exec_uuid", "generation", left.alias("minutes"), "applied")
+
+
+_ACQUIRED = """WITH g AS (SELECT 'n' || n_nationkey AS sidecar_id FROM nation WHERE n_nationkey % 5 > 0 AND n_nationkey % 7 > 0), f AS (SELECT s_suppkey, row_number() OVER (ORDER BY 'n' || s_nationkey, s_suppkey) AS n FROM supplier
+WHERE s_suppkey % 3 = 0 AND s_suppkey % 11 > 0 AND 'n' || s_nationkey IN (SELECT sidecar_id FROM g) {}), j AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey DESC) AS n FROM customer WHERE c_custkey <= 5)
+SELECT s_suppkey AS slot_id, CASE WHEN j.n IS NOT NULL THEN 'leased' WHEN s_suppkey % 3 = 0 THEN 'free' WHEN s_suppkey % 3 = 1 THEN 'leased' ELSE 'expired' END AS state, CASE WHEN j.n IS NOT NULL THEN c_custkey WHEN s_suppkey % 3 > 0 THEN s_suppkey END AS job_id, s_nationkey + CAST(j.n IS NOT NULL AS INTEGER) AS generation
+FROM supplier LEFT JOIN f USING (s_suppkey) LEFT JOIN j ON j.n = f.n"""
+
+
+def _acquired(spark, sf, preferred):
+    n = F.col("n_nationkey")
+    sidecars = table(spark, sf, "nation").select(F.concat(F.lit("n"), n.cast("string")).alias("sidecar_id"), (n % 5 > 0).alias("enabled"), F.lit(True).alias("healthy"), F.lit(False).alias("stale"), F.when(n % 7 > 0, F.array(F.lit("m"))).otherwise(F.array().cast("array<string>")).alias("models"))
+    commands = table(spark, sf, "customer").where("c_custkey <= 5").select(F.col("c_custkey").alias("job_id"), F.lit("new").alias("exec_uuid"), (-F.col("c_custkey")).alias("place"))
+    return transitions.acquire_slots(slots(spark, sf), sidecars, commands, F.expr(AS_OF), preferred).select("slot_id", "state", "job_id", "generation")
 
 
-@query("""SELECT s_suppkey AS slot_id, CASE WHEN s_suppkey % 3 = 1 AND s_nationkey > 10 THEN 'expired' WHEN s_suppkey % 3 = 2 AND s_nationkey > 15 THEN 'free' WHEN s_suppkey % 3 = 0 THEN 'free' WHEN s_suppkey % 3 = 1 THEN 'leased' ELSE 'quarantined' END AS state FROM supplier""")
+@query(_ACQUIRED.format(""))
+def lease_acquire(spark, sf):
+    return _acquired(spark, sf, None)
+
+
+@query(_ACQUIRED.format("AND s_nationkey = 8"))
+def lease_acquire_preferred(spark, sf):
+    return _acquired(spark, sf, "n8")
+
+
+@query("""SELECT s_suppkey AS slot_id, CASE WHEN s_suppkey % 3 = 1 AND s_nationkey > 10 THEN 'expired' WHEN s_suppkey % 3 = 2 AND s_nationkey > 15 THEN 'free' WHEN s_suppkey % 3 = 0 THEN 'free' WHEN s_suppkey % 3 = 1 THEN 'leased' ELSE 'expired' END AS state,
+CASE WHEN s_suppkey % 3 = 1 OR s_suppkey % 3 = 2 AND s_nationkey <= 15 THEN s_suppkey END AS job_id, s_suppkey % 3 = 1 AND s_nationkey <= 10 AS beats FROM supplier""")
 def lease_expiry(spark, sf):
-    rows = slots(spark, sf).withColumn("expires_at", F.expr(AS_OF) + F.expr("make_interval(0, 0, 0, 0, 0, 10 - generation, 0)"))
-    return transitions.expire_slots(rows, F.expr(AS_OF)).select("slot_id", "state")
+    return transitions.expire_slots(slots(spark, sf), F.expr(AS_OF)).select("slot_id", "state", "job_id", F.col("heartbeat_at").isNotNull().alias("beats"))
+
+
+@query("""SELECT registered_id, available FROM (SELECT 'n' || s_nationkey AS registered_id, count(*) FILTER (WHERE s_suppkey % 3 = 0) AS available, sum(s_suppkey % 4) AS running FROM supplier
+WHERE s_nationkey % 3 > 0 AND s_nationkey % 4 > 0 AND s_nationkey <= 20 GROUP BY 1) WHERE available > 0 ORDER BY available DESC, running, registered_id LIMIT 1""")
+def route_sidecar(spark, sf):
+    """Healthy ones (not every third) that can do what is asked (not every fourth), seen in the last 30 seconds (numbers up to 20)."""
+    s, n = table(spark, sf, "supplier"), F.col("s_nationkey")
+    rows = s.groupBy("s_nationkey").agg(F.count_if(F.col("s_suppkey") % 3 == 0).alias("available_slots"), F.sum(F.col("s_suppkey") % 4).alias("running_requests"))
+    seen = F.expr(AS_OF) - F.make_interval(secs=n * 1.5)
+    rows = rows.withColumns({"registered_id": F.concat(F.lit("n"), n.cast("string")), "healthy": n % 3 > 0, "stale": transitions.older(seen, F.expr(AS_OF), transitions.STALE_SECONDS), "capabilities": F.when(n % 4 > 0, F.array(F.lit("text"), F.lit("vision"))).otherwise(F.array(F.lit("text"))), "served_models": F.array(F.lit("m"))})
+    return transitions.routed(rows, ["vision"]).join(rows.select("registered_id", F.col("available_slots").alias("available")), "registered_id")
+
+
+_QUEUE = """WITH q AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN o_orderkey % 4 = 0 THEN 'preferred sidecar n1 stale' END AS unavailable FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 40 < 4 ORDER BY o_orderdate, o_orderkey LIMIT 40),
+r AS (SELECT *, o_custkey % 40 AS u FROM q)"""
+
+
+@query(f"""WITH RECURSIVE {_QUEUE.removeprefix('WITH ')}, k AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM r),
+g AS (SELECT 0 AS n, 3 AS active, map {{0: 1, 1: 0, 2: 5, 3: 0}} AS users, CAST(NULL AS BIGINT) AS job_id, CAST(NULL AS VARCHAR) AS queue_reason UNION ALL
+SELECT k.n, CASE WHEN s.reason IS NULL THEN g.active + 1 ELSE g.active END, CASE WHEN s.reason IS NULL THEN map {{0: users[0] + CAST(u = 0 AS INT), 1: users[1] + CAST(u = 1 AS INT), 2: users[2] + CAST(u = 2 AS INT), 3: users[3] + CAST(u = 3 AS INT)}} ELSE users END, k.o_orderkey, s.reason
+FROM g JOIN k ON k.n = g.n + 1, LATERAL (SELECT CASE WHEN unavailable IS NOT NULL THEN unavailable WHEN g.active >= 12 THEN 'global active-job limit reached' WHEN u < 2 AND users[u] >= 4 OR u = 3 AND users[u] >= 2 THEN 'per-user active-job limit reached' END AS reason) s)
+SELECT job_id, CASE WHEN queue_reason IS NULL THEN 'admitted' ELSE 'queued' END AS state, queue_reason FROM g WHERE n > 0""")
+def promote_queued(spark, sf):
+    """From durable counters: users 0 and 1 may have four, user 2 any number, user 3 has no counter yet and may have two; twelve in all."""
+    rows = table(spark, sf, "orders").where("o_orderstatus = 'P' AND o_custkey % 40 < 4")
+    queued = rows.select(F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 40).alias("user_id"), F.col("o_orderdate").alias("queued_at"), F.when(F.col("o_orderkey") % 4 == 0, "preferred sidecar n1 stale").alias("unavailable"))
+    counters = spark.createDataFrame([("global", 3, 12), ("user:0", 1, 4), ("user:1", 0, 4), ("user:2", 5, 0)], "key string, active long, limit long")
+    return transitions.promoted(queued, counters, (12, 2), 40)
 
 
 @query("""WITH o AS (SELECT o_orderkey AS id, o_orderdate AS created_at, CASE o_orderstatus WHEN 'P' THEN 'published' WHEN 'F' THEN 'publishing' ELSE 'pending' END AS state FROM orders),
@@ -71,6 +150,18 @@ def outbox_publish(spark, sf):
     return transitions.publish(outbox, F.expr(AS_OF), 50).select("id", "state")
 
 
+@query("""WITH o AS (SELECT o_orderkey AS id, ['pending', 'publishing', 'published', 'delivered'][o_orderkey % 4 + 1] AS state, ['published', 'delivered', 'failed'][o_orderkey // 4 % 4 + 1] AS o FROM orders)
+SELECT id, CASE WHEN o = 'published' AND state IN ('pending', 'publishing') THEN o WHEN o = 'delivered' AND state IN ('pending', 'published', 'publishing') THEN o WHEN o = 'failed' AND state = 'publishing' THEN 'pending' ELSE state END AS state,
+coalesce(o = 'published' AND state IN ('pending', 'publishing'), false) AS published_now, coalesce(o = 'delivered' AND state IN ('pending', 'published', 'publishing'), false) AS delivered_now FROM o""")
+def outbox_delivered(spark, sf):
+    n = F.col("o_orderkey")
+    pick = lambda i, *values: F.get(F.array(*map(F.lit, values)), i.cast("int"))
+    rows = table(spark, sf, "orders").select(n.alias("id"), pick(n % 4, "pending", "publishing", "published", "delivered").alias("state"), F.lit(None).cast("timestamp_ntz").alias("published_at"), F.lit(None).cast("timestamp_ntz").alias("delivered_at"))
+    outcomes = table(spark, sf, "orders").where(n.bitwiseAND(F.lit(12)) < 12).select(n.alias("id"), pick(F.floor(n / 4) % 4, "published", "delivered", "failed").alias("outcome"))
+    out = transitions.delivered(rows, outcomes, F.expr(AS_OF))
+    return out.select("id", "state", F.col("published_at").isNotNull().alias("published_now"), F.col("delivered_at").isNotNull().alias("delivered_now"))
+
+
 def _admissions(spark, sf):
     orders = table(spark, sf, "orders")
     rows = orders.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("user_id"), F.when(F.col("o_orderstatus") == "F", "admitted").otherwise("queued").alias("state"))
@@ -105,10 +196,10 @@ def upsert(spark, sf):
 
 
 @query("""SELECT o_orderkey AS job_id, p AS position, n AS name, CASE WHEN w THEN 'pending' ELSE 'skipped' END AS status, CASE WHEN w THEN 0 ELSE 100 END AS percent FROM
-(SELECT o_orderkey, unnest([0, 1, 2, 3, 4, 5]) AS p, unnest(['download', 'transcribe', 'snapshots', 'slides', 'summarize', 'export']) AS n, unnest([true, true, o_orderstatus = 'F', o_orderstatus = 'O', o_totalprice > 200000, true]) AS w FROM orders)""")
+(SELECT o_orderkey, unnest([0, 1, 2, 3, 4, 5]) AS p, unnest(['download', 'transcribe', 'snapshots', 'slides', 'summarize', 'export']) AS n, unnest([o_orderstatus = 'F' OR o_totalprice > 200000, true, o_orderstatus = 'F', o_totalprice > 200000, true, true]) AS w FROM orders)""")
 def seed_steps(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_orderstatus") == "F").alias("with_snapshots"), (F.col("o_orderstatus") == "O").alias("with_slides"), (F.col("o_totalprice") > 200000).alias("with_summary"))
-    return transitions.seeded_steps(o)
+    """Without snapshots and slides nothing is downloaded."""
+    return transitions.seeded_steps(table(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_orderstatus") == "F").alias("with_snapshots"), (F.col("o_totalprice") > 200000).alias("with_slides")))
 
 
 @query(f"""WITH {_STEPS} SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.job_id = o_orderkey AND s.status = 'running') AND o_orderstatus <> 'F' THEN 'failed' WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'processing' END AS status FROM orders""")
@@ -199,6 +290,29 @@ def stream_generation(spark, sf):
     return streams.drained(streams.newest_generation(streams.source(spark, sf), "user_id", F.get_json_object("props", "$.k").cast("bigint")), "complete")
 
 
+@query("""SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT) >= max(CAST(json_extract_string(props, '$.k') AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS accepted FROM events""")
+def stream_stale_delivery(spark, sf):
+    """Each delivery is accepted, or refused as one of an older generation than its key has seen."""
+    return streams.drained(streams.not_older(streams.source(spark, sf), "user_id", F.get_json_object("props", "$.k").cast("double")))
+
+
+@query("""SELECT event_id, coalesce(value >= max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS accepted FROM events""")
+def stream_monotone_progress(spark, sf):
+    """Each report of progress is accepted, or refused because it goes back."""
+    return streams.drained(streams.not_older(streams.source(spark, sf), "user_id", F.col("value")))
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, event_type IN ('view', 'signup') AS ok, value <= 60 AS deps, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+g AS (SELECT user_id, 0 AS n, 0 AS failures, CAST([] AS DOUBLE[]) AS restarts, CAST(NULL AS BIGINT) AS event_id, '' AS action FROM (SELECT DISTINCT user_id FROM e) UNION ALL
+SELECT g.user_id, e.n, CASE WHEN a.action IN ('ok', 'restart') THEN 0 ELSE g.failures + 1 END, CASE WHEN a.action = 'restart' THEN list_append(a.recent, e.t) ELSE g.restarts END, e.event_id, a.action FROM g JOIN e ON e.user_id = g.user_id AND e.n = g.n + 1,
+LATERAL (SELECT list_filter(g.restarts, lambda x: x >= e.t - 864000) AS recent, CASE WHEN e.ok THEN 'ok' WHEN NOT e.deps THEN 'dependency' WHEN g.failures + 1 < 3 THEN 'waiting' WHEN len(list_filter(g.restarts, lambda x: x >= e.t - 864000)) >= 1 THEN 'limited' ELSE 'restart' END AS action) a)
+SELECT event_id, action, failures FROM g WHERE n > 0""")
+def watchdog_actions(spark, sf):
+    """Three failures running restart what they tell of, unless a dependency is down or it was restarted in the ten days before."""
+    rows = table(spark, sf, "events").select("event_id", "user_id", times.epoch_seconds(F.col("ts")).alias("t"), F.col("event_type").isin("view", "signup").alias("ok"), (F.col("value") <= 60).alias("deps"))
+    return folds.watchdog(rows, "user_id", "t", "event_id", "ok", "deps", most=1, window=864000.0).select("event_id", "action", "failures")
+
+
 @query("""SELECT event_id, CASE WHEN bad THEN row_number() OVER (PARTITION BY user_id, g, bad ORDER BY ts, event_id) ELSE 0 END AS failures FROM
 (SELECT event_id, user_id, ts, event_type IN ('error', 'click') AS bad, count(*) FILTER (WHERE event_type NOT IN ('error', 'click')) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events)""")
 def watchdog_failures(spark, sf):

@@ -18,8 +18,10 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; a temporary one where none is set, as in tests."""
+    """A new folder below the cluster's shared one; where none is set, below a temporary one, which only a local session may use."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{(shared or tempfile.mkdtemp(prefix='tallyloom-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -84,3 +86,18 @@ def running_maximum(events: DataFrame, key: str) -> DataFrame:
 def newest_generation(events: DataFrame, key: str, generation) -> DataFrame:
     """Greatest generation of each key (complete mode); what is of an older one is stale."""
     return events.groupBy(key).agg(F.max(generation).alias("generation"))
+
+
+def not_older(events: DataFrame, key: str, value) -> DataFrame:
+    """event_id and accepted: an event whose value is below the greatest that its key has had before is refused. The state of a
+    key is that value."""
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        (best,) = state.get if state.exists else (float("-inf"),)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        before = rows["_value"].cummax().shift(fill_value=float("-inf")).clip(lower=best)
+        state.update((float(max(best, rows["_value"].max())),))
+        yield pd.DataFrame({"event_id": rows["event_id"], "accepted": rows["_value"] >= before})
+
+    rows = events.select("event_id", "ts", key, value.cast("double").alias("_value"))
+    return rows.groupBy(key).applyInPandasWithState(step, "event_id bigint, accepted boolean", "best double", "append", "NoTimeout")

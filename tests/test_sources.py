@@ -69,5 +69,6 @@ def test_claims_need_a_free_or_orphaned_step(spark):
     steps = spark.sql("""SELECT * FROM VALUES (1, 'a', 'pending', 0, NULL, NULL), (2, 'a', 'running', 1, TIMESTAMP_NTZ '2024-01-01 09:00:00', 'x'),
         (3, 'a', 'running', 1, TIMESTAMP_NTZ '2024-01-01 07:59:59', 'y'), (4, 'a', 'completed', 1, NULL, NULL) AS t(job_id, name, status, attempt, started_at, claim_token)""")
     commands = steps.select("job_id", "name", F.lit("new").alias("claim_token"))
-    out = {r["job_id"]: (r["status"], r["attempt"], r["claimed"]) for r in transitions.claim_steps(steps, commands, at).collect()}
+    jobs = steps.select("job_id", F.lit("processing").alias("status"))
+    out = {r["job_id"]: (r["status"], r["attempt"], r["claimed"]) for r in transitions.claim_steps(steps, jobs, commands, at).collect()}
     assert out == {1: ("running", 1, True), 2: ("running", 1, False), 3: ("running", 2, True), 4: ("completed", 1, False)}

@@ -40,7 +40,7 @@ def test_incremental_before_any_start_has_no_parent(spark):
 
 @pytest.mark.parametrize(
     ("tie", "miss", "expected"),
-    [("first", "drop", {10: 1, 15: 1, 25: 3}), ("first", "first", {-1: 0, 10: 1, 15: 1, 25: 3}), ("last", "first", {-1: 0, 10: 2, 15: 2, 25: 3}), ("last", "null", {-1: None, 10: 2, 15: 2, 25: 3})],
+    [("first", "drop", {10: 1, 15: 1, 25: 3}), ("first", "first", {-1: 0, 10: 1, 15: 1, 25: 3}), ("last", "first", {-1: 0, 10: 2, 15: 2, 25: 3}), ("last", "null", {-1: None, 10: 2, 15: 2, 25: 3}), ("first", "zero", {-1: 0, 10: 1, 15: 1, 25: 3})],
 )
 def test_asof(spark, tie, miss, expected):
     lines = spark.createDataFrame([(1, 0.0, 0), (1, 10.0, 1), (1, 10.0, 2), (1, 20.0, 3)], "k long, t double, i long")

@@ -4,8 +4,10 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom import plans
+from tallyloom.functions import text
 
 LONG = "word " * 3_000
 TEXTS = [
@@ -45,7 +47,7 @@ def raw_reasoning(i, t):
 
 
 def snake(t):
-    return re.sub(r"^_+|_+$", "", re.sub(r"[\s-]+", "_", re.sub(r"[^a-z0-9\s_-]", "", t.lower())))[:80] or "video"
+    return re.sub(r"\s+", "_", re.sub(r"[^a-zA-Z0-9\s]", "", t).strip()).lower()[:80] or "video"
 
 
 BRUTE = {
@@ -71,9 +73,9 @@ def test_whole_texts(spark, folder, name):
     assert found == sorted(x for i, t in enumerate(TEXTS) for k in range(4) for x in BRUTE[name](4 * i + k, t))
 
 
-def test_prompt_keeps_30000_characters(spark, tmp_path):
+def test_prompt_keeps_30000_characters_and_later_chapters(spark):
     head = "small line\n" * 2_000
-    texts = [head, head + "x" * (30_000 - len(head)), head + "x" * (30_000 - len(head)) + "tail\nCapital\nsmall\nOther"]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = dict(plans.QUERIES["truncated_prompt_whole"](spark, str(tmp_path)).collect())
-    assert found == {0: md5(texts[0]), 1: md5(texts[1]), 2: md5(texts[1] + "\nCapital\nOther")}
+    full = head + "x" * (30_000 - len(head))
+    rows = [head, full, full + "tail\nCapital\n## [00:10:00] Part\nsmall\n## [00:20:00] End", full + "tail\nCapital"]
+    found = [r["p"] for r in spark.createDataFrame(list(enumerate(rows)), "i long, t string").orderBy("i").select(text.prompt_text(F.col("t")).alias("p")).collect()]
+    assert found == [head, full, full + "\n...\n## [00:10:00] Part\n## [00:20:00] End", full]
