@@ -44,7 +44,8 @@ def test_chunks_cover_texts_and_resist_shifts():
     random.seed(3)
     text = " ".join("".join(random.choice("abcdefgh") for _ in range(6)) for _ in range(300))
     both = pa.array([text, None, "", "x" + text, "é" * 500])
-    row, place, start, end, words, digest = substring_dedup.chunks(both)
+    row, place, start, end, words, before, after, digest, check = substring_dedup.chunks(both)
+    assert all(before[i] >= (words[i - 1] if place[i] else 0) and (i + 1 == len(row) or after[i] == (words[i + 1] if place[i + 1] else 0)) for i in range(len(row)))
     for r, t in enumerate(both.to_pylist()):
         mine = row == r
         assert list(place[mine]) == list(range(mine.sum()))
@@ -54,6 +55,71 @@ def test_chunks_cover_texts_and_resist_shifts():
     assert len(a & b) >= len(a) - 2
 
 
+def brute(docs):
+    """Passages by plain loops: one byte at a time, chunks compared by their bytes."""
+    held, cuts = {}, {}
+    for i, text in docs:
+        data = text.encode()
+        hashes = []
+        for at in range(len(data)):
+            h = 0
+            for age in range(min(at + 1, substring_dedup.WINDOW)):
+                h += int(substring_dedup._GEAR[data[at - age]]) << age
+            hashes.append(h * 0x9E3779B1 % (1 << 32))
+        low = [at + 1 for at in range(substring_dedup.WINDOW - 1, len(data) - 1) if hashes[at] < (1 << 32) // substring_dedup.MEAN_GAP and data[at + 1] & 0xC0 != 0x80]
+        ends = sorted({0, len(data), *[b for a, b in zip([-99, *low], low, strict=False) if b - a > substring_dedup.LEAST]})
+        assert all(b - a <= substring_dedup.LONG for a, b in zip(ends, ends[1:], strict=False))
+        cuts[i] = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        for c in cuts[i]:
+            held.setdefault(c, set()).add(i)
+    out = []
+    for i, parts in cuts.items():
+        white = b" \t\n\v\f\r"
+        n = [sum(c not in white and (b"".join(parts[:k]) + p)[len(b"".join(parts[:k])) + j - 1 : len(b"".join(parts[:k])) + j] in (b"", *[bytes([w]) for w in white]) for j, c in enumerate(p)) for k, p in enumerate(parts)]
+        k = 0
+        while k < len(parts):
+            if len(held[parts[k]]) < 2:
+                k += 1
+                continue
+            end = k
+            while end < len(parts) and len(held[parts[end]]) >= 2:
+                end += 1
+            words = sum(n[k:end])
+            at = [len(b"".join(parts[:j])) for j in range(len(parts))]
+            data, near = b"".join(parts), 0
+            if k:
+                near = sum(data[j] not in white and (j == 0 or data[j - 1] in white) for j in range(max(0, at[k - 1] - substring_dedup.WINDOW - substring_dedup.LEAST), at[k]))
+            if words >= substring_dedup.MIN_WORDS and words + near + (n[end] if end < len(parts) else 0) >= substring_dedup.PASSAGE_WORDS:
+                start, stop = len(b"".join(parts[:k]).decode()), len(b"".join(parts[:end]).decode())
+                out.append((i, start, stop, words, min(min(held[p]) for p in parts[k:end]), all(min(held[p]) == i for p in parts[k:end])))
+            k = end
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [1_000, 2])
+def test_against_brute_force(spark, planted, monkeypatch, hot):
+    """Hot digests by broadcast give the same rows."""
+    monkeypatch.setattr(substring_dedup, "LEAST_HOT", hot)
+    docs = planted[0][:120] + [(300, planted[1][0]), (301, planted[1][0] + " " + planted[1][1])]
+    out = substring_dedup.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start"], r["end"], r["n_words"], r["first_doc_id"], r["kept"]) for r in out) == brute(docs)
+
+
+def test_passages_of_51_words_are_found_and_short_ones_left_alone(spark):
+    random.seed(30)
+    word = lambda: "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(random.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    docs, short = [], set()
+    for i in range(400):
+        passage = text(51 if i % 2 else 12)
+        short |= set() if i % 2 else {2 * i, 2 * i + 1}
+        docs += [(2 * i + k, f"{text(30)} {passage} {text(30)}") for k in (0, 1)]
+    found = {r["doc_id"] for r in substring_dedup.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    missed = set(range(800)) - short - found
+    print("missed", missed, "short", found & short)
+    assert len(missed) <= 4 and not found & short
+
+
 def test_odd_rows(odd, nothing, spark):
     assert substring_dedup.find(nothing).count() == 0
     out = substring_dedup.find(odd).collect()
