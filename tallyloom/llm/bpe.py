@@ -3,10 +3,11 @@
 A token at the left of a buffer is stable once no byte to come can change it. `Merges.lookahead` bounds, from the merge
 list alone, how far a change at the right end of a buffer can reach to the left: a change reaches on only through a chain
 of merges of falling priority, each of which wants as its right half a token that begins with the left half of the one
-before. The longest such chain, in bytes, is a sufficient lookahead. A pretoken longer than the buffer is therefore
-encoded in windows: all tokens that end a lookahead before the window's end are emitted, and the window moves on to the
-last emitted boundary (merges never cross a boundary of the final encoding, so starting afresh there is exact). Working
-memory is one window and the bounded cache of short pretokens, whatever the length of the text.
+before. The longest such chain, in bytes, is a sufficient lookahead. Bytes are pushed into a Transducer; whenever it holds a
+window, all tokens that end a lookahead before the window's end are emitted, and the window moves on to the last emitted boundary
+(merges never cross a boundary of the final encoding, so starting afresh there is exact). The end of a pretoken makes all that is
+left stable. Texts are taken segment by segment and long pretokens piece by piece, so working memory is a segment, a window and
+the bounded cache of short pretokens, whatever the length of the text and whether it has spaces or not.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ import codecs
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kernel import slices, small_batches
 
@@ -29,6 +32,8 @@ CACHE_UNITS = 300_000
 CACHE_CHARS = 40
 #: Characters that are looked at together for pretokens.
 SEGMENT = 1 << 16
+#: Bytes from which on a buffer is merged over a heap.
+LONG_BUFFER = 64
 
 
 def byte_characters() -> dict[str, int]:
@@ -70,9 +75,32 @@ class Merges:
                 token = halves[token][0]
         return most + max(len(a) + len(b) for a, b in pairs)
 
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        """The same over a heap of pairs and a linked list, for buffers in which looking for the least pair anew takes long."""
+        n, rank = len(parts), self.rank.get
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(found[0], i, parts[i], parts[i + 1], found[1]) for i in range(n - 1) if (found := rank((parts[i], parts[i + 1])))]
+        heapify(heap)
+        while heap:
+            _, i, a, b, made = heappop(heap)
+            j = right[i]
+            if parts[i] != a or j >= n or parts[j] != b:
+                continue  # one of the two is gone
+            parts[i], parts[j] = made, -2
+            right[i] = k = right[j]
+            if k < n:
+                left[k] = i
+                if found := rank((made, parts[k])):
+                    heappush(heap, (found[0], i, made, parts[k], found[1]))
+            if (h := left[i]) >= 0 and (found := rank((parts[h], made))):
+                heappush(heap, (found[0], h, parts[h], made, found[1]))
+        return [p for p in parts if p != -2]
+
     def merge(self, data: bytes) -> list[int]:
         """Ids of one buffer: the pair of highest priority first, from the left."""
         parts = [self.first[b] for b in data]
+        if len(parts) > LONG_BUFFER:
+            return self._merge_long(parts)
         rank, none = self.rank.get, (len(self.rank), 0)
         ranks = [rank((a, b), none) for a, b in zip(parts, parts[1:])]  # noqa: B905
         while ranks:
@@ -88,19 +116,45 @@ class Merges:
                 ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
         return parts
 
-    def stream(self, data: bytes) -> Iterator[int]:
-        """Ids of one pretoken of any length, each as soon as it is stable."""
-        window = 4 * self.lookahead
+
+class Transducer:
+    """Bytes of one pretoken in, ids out as soon as they are stable; holds a window of bytes at most."""
+
+    def __init__(self, merges: Merges):
+        self.merges, self.window, self.held = merges, 4 * merges.lookahead, b""
+
+    def push(self, data: bytes) -> Iterator[int]:
+        """Ids that are stable now."""
+        self.held += data
+        stable = self.window - self.merges.lookahead
         at = 0
-        while len(data) - at > window:
+        while len(self.held) - at > self.window:
             end = 0
-            for i in self.merge(data[at : at + window]):
-                if end + len(self.bytes[i]) > window - self.lookahead:
+            for i in self.merges.merge(self.held[at : at + self.window]):
+                if end + len(self.merges.bytes[i]) > stable:
                     break
-                end += len(self.bytes[i])
+                end += len(self.merges.bytes[i])
                 yield i
             at += end
-        yield from self.merge(data[at:])
+        self.held = self.held[at:]
+
+    def finish(self) -> list[int]:
+        """The rest, at the end of a pretoken."""
+        held, self.held = self.held, b""
+        return self.merges.merge(held)
+
+
+def checked(spec: dict) -> dict:
+    """A tokenizer's settings, if they are those that are encoded here; others are an error."""
+    pre, model, decoder = spec.get("pre_tokenizer") or {}, spec["model"], spec.get("decoder") or {}
+    wrong = [name for name, bad in (
+        ("normalizer", spec.get("normalizer") is not None), ("pre_tokenizer", pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True)), ("decoder", decoder.get("type") != "ByteLevel"),
+        ("model", model.get("type", "BPE") != "BPE"), ("model settings", any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))),
+        ("added tokens", any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip"))),
+    ) if bad]
+    if wrong:
+        raise ValueError(f"not a plain byte-level BPE tokenizer: {', '.join(wrong)}")
+    return spec
 
 
 class Encoder:
@@ -108,14 +162,17 @@ class Encoder:
 
     def __init__(self, file: str, cache_units: int = CACHE_UNITS):
         self.cache_units = cache_units
-        spec = json.loads(file)
+        spec = checked(json.loads(file))
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.merges = Merges(spec["model"]["vocab"], spec["model"]["merges"], special)
+        self.transducer = Transducer(self.merges)
         #: fixed value: the public byte-level pretoken pattern
         self.pretoken = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         #: white space before a space: a cut between the two would not be a cut between pretokens
         self.tight = [f"{chr(c)} " for c in range(0x3001) if chr(c).isspace()]
+        #: runs that a pretoken of the pattern may be: letters, numbers, others, white space
+        self.kinds = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+")]
         self.loose = regex.compile(r"(?<=\S)(?= \S)")
         self.cache: dict[str, tuple[str, tuple[int, ...]]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
@@ -126,7 +183,7 @@ class Encoder:
         for t in self.pretoken.findall(unit):
             ids = self.words.get(t)
             if ids is None:
-                ids = tuple(self.merges.stream(t.encode("utf-8", "replace")))
+                ids = (*self.transducer.push(t.encode("utf-8", "replace")), *self.transducer.finish())
                 if len(t) <= CACHE_CHARS:
                     if len(self.words) >= self.cache_units:
                         self.words.clear()
@@ -154,21 +211,61 @@ class Encoder:
                 i = self.merges.special[plain]
                 yield [(str(i), (i,))]
                 continue
-            for segment in self.segments(plain):
-                if found := [f for u in self.units(segment) if (f := get(u) or unit(u))[1]]:
+            for segment, loose in self.segments(plain):
+                if not loose:
+                    yield from self.tight_blocks(segment)
+                elif found := [f for u in self.units(segment) if (f := get(u) or unit(u))[1]]:
                     yield found
 
-    def segments(self, text: str) -> Iterator[str]:
-        """Parts of about SEGMENT characters, cut between a non-space and a space before a non-space."""
+    def segments(self, text: str) -> Iterator[tuple[str, bool]]:
+        """Parts of about SEGMENT characters, cut between a non-space and a space before a non-space; and whether a part has such a
+        cut near enough. One that has none is as long as it has to be."""
         at = 0
-        while len(text) - at > SEGMENT:
-            cut = self.loose.search(text, at + SEGMENT)
-            if not cut:
-                break
-            yield text[at : cut.start()]
-            at = cut.start()
-        if at < len(text):
-            yield text[at:]
+        while at < len(text):
+            cut = self.loose.search(text, at + SEGMENT) if len(text) - at > SEGMENT else None
+            end = cut.start() if cut else len(text)
+            yield (text[at:end] if at or end < len(text) else text), end - at <= 4 * SEGMENT
+            at = end
+
+    def tight_blocks(self, text: str) -> Iterator[list[tuple[str, tuple[int, ...]]]]:
+        """Blocks of a long part without near cuts: pretoken by pretoken, and long pretokens piece by piece."""
+        block, size = [], 0
+        for start, end in self.spans(text):
+            if end - start <= SEGMENT:
+                found = self.words.get(text[start:end])
+                found = self.unit(text[start:end]) if found is None else (",".join(map(str, found)), found)
+                block.append(found)
+                size += end - start
+            else:
+                if block:
+                    yield block
+                block, size = [], 0
+                for at in range(start, end, SEGMENT):
+                    if ids := tuple(self.transducer.push(text[at : min(end, at + SEGMENT)].encode("utf-8", "replace"))):
+                        yield [(",".join(map(str, ids)), ids)]
+                ids = tuple(self.transducer.finish())
+                block = [(",".join(map(str, ids)), ids)] if ids else []
+            if size >= SEGMENT:
+                yield block
+                block, size = [], 0
+        if block:
+            yield block
+
+    def spans(self, text: str) -> Iterator[tuple[int, int]]:
+        """Where pretokens begin and end. Long runs of one kind of character are measured by chunks, as a pattern that matches
+        millions of characters at once keeps a state for each."""
+        at = 0
+        while at < len(text):
+            m = self.pretoken.match(text, at, min(len(text), at + 2 * SEGMENT))
+            end = m.end()
+            if end - at == 2 * SEGMENT and end < len(text):
+                kind = self.kinds[[bool(k.match(text, end - 1)) for k in self.kinds].index(True)]
+                while end < len(text) and (more := kind.match(text, end, min(len(text), end + SEGMENT))):
+                    end = more.end()
+                if kind is self.kinds[-1] and end < len(text):  # white space leaves its last character to what follows
+                    end -= 1
+            yield at, end
+            at = end
 
     def encode(self, text: str) -> list[int]:
         return [i for block in self.blocks(text) for _, ids in block for i in ids]
@@ -286,11 +383,14 @@ def round_trip(docs: DataFrame, file: str) -> DataFrame:
 
 
 def tokenize(docs: DataFrame, file: str, cache_units: int = CACHE_UNITS // 2) -> DataFrame:
-    """One row for each row of docs: doc_id, n_tokens, ids, whole (the decoded ids are the text again); null text is empty.
+    """The rows of docs but for their text: their other columns, n_tokens, ids, and whole (the decoded ids are the text again).
 
-    cache_units bounds what a worker keeps; the ids themselves take memory here.
+    Null text is empty. Columns of docs that are called as the new ones are replaced. cache_units bounds what a worker keeps; the ids
+    themselves take memory here.
     """
     shared = _shared(docs, file)
+    new = [("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("whole", pa.bool_())]
+    kept = [c for c in docs.columns if c != "text" and c not in dict(new)]
 
     def run(batches):
         encoder = _encoder(*shared, cache_units)
@@ -298,11 +398,13 @@ def tokenize(docs: DataFrame, file: str, cache_units: int = CACHE_UNITS // 2) ->
             for part in slices(batch):
                 ids, n, whole = [], [], []
                 for t in part.column("text").to_pylist():
-                    kept: list[int] = []
-                    count, _, decoded = digest(encoder, t or "", kept)
-                    ids.append(kept)
+                    held: list[int] = []
+                    count, _, decoded = digest(encoder, t or "", held)
+                    ids.append(held)
                     n.append(count)
                     whole.append(decoded == hashlib.sha256((t or "").encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(whole)], ["doc_id", "n_tokens", "ids", "whole"])
+                made = [pa.array(x, kind) for x, (_, kind) in zip((n, ids, whole), new, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *made], [*kept, *[c for c, _ in new]])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, whole boolean")
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("whole", T.BooleanType())])
+    return small_batches(docs).select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

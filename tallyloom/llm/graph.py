@@ -2,32 +2,57 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths of tables that written() made and nobody has deleted yet.
+_made: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (local runs), a temporary folder that is then set for the session."""
+    """The cluster's shared folder; where none is set, a temporary folder that is then set for the session, which only a local one
+    may use: on a cluster each machine would write a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tallyloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared folder, and its path: its lineage is cut, and no executor's loss touches it."""
+    """df as a Parquet table in the shared folder, and its path: its lineage is cut, and no executor's loss touches it.
+
+    Results may read such a table when they are asked for. Run operators in a scratch() block to have their tables deleted.
+    """
     path = f"{shared_folder(df.sparkSession)}/tallyloom-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession, keep: list[str] | None = None) -> Iterator[None]:
+    """Tables that are written in the block are deleted at its end, but for paths in `keep`. Take results out before."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for path in [p for p in _made if p not in before and p not in (keep or ())]:
+            delete(spark, path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _made:
+        _made.remove(path)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Columns (shingles) are put in one order, rare ones first; the order comes from a count sketch over all rows. Two sets of
 Jaccard similarity t or more share a column among the first n - ceil(t * n) + 1 of each, so the product is first taken over
-those prefixes: the matrix is dealt out by column, columns with one entry go, and pairs whose sizes or accumulated overlap
-bound the similarity below t are dropped. Pairs that stay are counted exactly, over whole rows of the matrix, a block of
-rows against one row at a time.
+those prefixes: the matrix is dealt out by column, columns with one entry go, and pairs whose sizes, or whose accumulated overlap up
+to here and the columns that may follow, bound the similarity below t are dropped. Pairs that stay are counted exactly, over whole
+rows of the matrix, a block of rows against one row at a time.
 
 Only links that matter for components are sought. In each column all entries are first paired with one of them, the
 column's hub, and counted; then what still lies in different components is. No column's entries are paired with each other
@@ -34,6 +34,13 @@ COLUMN_PART = 4_000
 BROADCAST_ROWS = 2_000_000
 #: Members that are compared with one row in one part.
 BLOCK_ROWS = 2_000
+#: Entries of a column that are compared with the others in one part.
+PAIR_ROWS = 2_000
+#: Different sets of one task that are remembered.
+SEEN_SETS = 1_000_000
+#: Digests of more than LEAST_HOT rows and of more than one in HOT_SHARE of all rows are hot: HOT_SHARE of them at most, so they are
+#: broadcast.
+HOT_SHARE, LEAST_HOT = 10_000, 1_000
 
 
 def row_sets(text: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
@@ -90,7 +97,7 @@ def _kept(batch: pa.RecordBatch, new: np.ndarray, parts: np.ndarray):
 def prefix_columns(docs: DataFrame, cells: np.ndarray, percent: int) -> tuple[DataFrame, str]:
     """Prefix entries (column, doc_id, n) of columns with two entries or more.
 
-    Rows of one task with equal sets enter once, under their smallest id.
+    Rows of one task with equal sets enter once, under the id of the first of them, as long as there are not too many different ones.
     """
     level = np.minimum(255, (8 * np.log2(cells + 1.0)).astype(np.int64)).astype(np.uint64)  # at most 8 * 31: the order of 2**31 entries and more is that of their hashes
     parts = np.maximum(1, cells // COLUMN_PART).astype(np.int64)
@@ -98,7 +105,7 @@ def prefix_columns(docs: DataFrame, cells: np.ndarray, percent: int) -> tuple[Da
 
     def run(batches):
         level, parts = shared.value
-        seen: dict[bytes, int] = {}
+        seen: set[bytes] = set()
         for batch in batches:
             for part in slices(batch):
                 columns, ids, sizes, salts = [], [], [], []
@@ -108,7 +115,9 @@ def prefix_columns(docs: DataFrame, cells: np.ndarray, percent: int) -> tuple[Da
                     key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     if key in seen:
                         continue
-                    seen[key] = i
+                    if len(seen) >= SEEN_SETS:
+                        seen.clear()
+                    seen.add(key)
                     cell = (s >> np.uint64(64 - _CELL_BITS)).astype(np.int64)
                     full = (level[cell] << np.uint64(56)) | (s >> np.uint64(8))
                     keep = len(s) - required(len(s), percent) + 1
@@ -260,10 +269,13 @@ def links(docs: DataFrame, surveyed: DataFrame, percent: int = PERCENT) -> DataF
     own = Window.partitionBy("doc_id")
     rest = labelled.join(mixed, "column").withColumn("after", F.count("*").over(own) - F.row_number().over(own.orderBy("entries", "column")))
     rest, rest_path = written(rest)
-    left, right = (rest.select("column", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "component", "after")]) for s in ("a", "b"))
+    # a column of many entries is dealt out: each of its parts meets all of the column, in a task of its own
+    parts = F.ceil(F.col("entries") / PAIR_ROWS).cast("int")
+    side = lambda s, part: rest.select("column", part.alias("part"), *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "component", "after")])
+    left, right = side("a", F.pmod(F.xxhash64("doc_id"), parts).cast("int")), side("b", F.explode(F.sequence(F.lit(0), parts - 1)))
     past = lambda n: F.ceil(F.lit(percent) * F.col(n) / 100) - 1
     least = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100.0 + percent) - 1e-9) - F.greatest(past("n_a"), past("n_b"))
-    pairs = left.join(right, "column").where((F.col("doc_id_a") > F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b"))).where(sizes(F.col("n_a"), F.col("n_b")))
+    pairs = left.join(right, ["column", "part"]).where((F.col("doc_id_a") > F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b"))).where(sizes(F.col("n_a"), F.col("n_b")))
     pairs = pairs.where(F.least("after_a", "after_b") >= least - 1)
     pairs = pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
     pairs, pairs_path = written(pairs)
@@ -284,9 +296,14 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     surveyed, _ = survey(docs)
     rows = surveyed.where("kind = 1")
     full = rows.where("n > 0 AND doc_id IS NOT NULL")
-    first = full.groupBy("digest", "check").agg(F.min("doc_id").alias("first"))
-    copies = full.join(first, ["digest", "check"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    key = ["digest", "check"]
+    groups, groups_path = written(full.groupBy(*key).agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
+    bound = max(LEAST_HOT, (groups.agg(F.sum("rows").alias("n")).first()["n"] or 0) // HOT_SHARE)
+    full = full.join(F.broadcast(groups.where(F.col("rows") > bound).select(*key, F.col("first").alias("hot"))), key, "left")  # HOT_SHARE rows at most
+    cold = full.where("hot IS NULL").join(groups.where(F.col("rows") <= bound), key)
+    copies = cold.select("doc_id", "first").unionByName(full.where("hot IS NOT NULL").select("doc_id", F.col("hot").alias("first"))).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     found = components(links(docs, surveyed, percent).unionByName(copies))
+    delete(docs.sparkSession, groups_path)
     out = rows.join(found, rows["doc_id"] == found["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import delete, written
+from .graph import written
 from .kernel import WHITE, buffers, mix, powers, slices, small_batches
 
 WINDOW = 16
@@ -131,7 +131,7 @@ def find(docs: DataFrame, min_words: int = MIN_WORDS, passage_words: int = PASSA
     text are read, and repeated rows give no row twice.
     """
     rows, key = chunk_rows(docs), ["digest", "check"]
-    owners, path = written(rows.groupBy(*key).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("owner < last").drop("last"))
+    owners, _ = written(rows.groupBy(*key).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("owner < last").drop("last"))
     total = owners.agg(F.sum("n").alias("n")).first()["n"] or 0
     bound = max(LEAST_HOT, total // HOT_SHARE)
     hot = owners.where(F.col("n") > bound).select(*key, F.col("owner").alias("hot"))  # HOT_SHARE rows at most

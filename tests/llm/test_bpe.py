@@ -53,6 +53,40 @@ def test_long_pretokens_are_streamed_in_windows():
         assert bpe.digest(ENCODER, text) == expected(text)
 
 
+def test_texts_without_spaces_are_taken_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(bpe, "SEGMENT", 40)
+    random.seed(2)
+    encoder = bpe.Encoder(bpe._load(FILE))
+    parts = ["漢字" * 30, "a" * 500, "x-y", " ", "  ", "\n\n", "12345678901234567890" * 9, "-" * 300, " " * 400, "\t" * 90, "'s", "é" * 100, "<|endoftext|>", "don't", "z" * 79, "z" * 80, "z" * 81, " " * 80, " " * 81]
+    for _ in range(200):
+        text = "".join(random.choice(parts) for _ in range(random.randint(1, 6)))
+        assert bpe.digest(encoder, text) == expected(text), text
+
+
+def test_memory_does_not_grow_with_a_text_without_spaces(monkeypatch):
+    """Peak of what one long text takes besides itself, for kinds of text that have no cut anywhere."""
+    import tracemalloc
+
+    monkeypatch.setattr(bpe, "SEGMENT", 1 << 11)
+    encoder = bpe.Encoder(bpe._load(FILE), cache_units=1000)
+    for unit in ("x9,漢", "q", "漢字"):
+        text = unit * (150_000 // len(unit))
+        tracemalloc.start()
+        count = sum(len(ids) for block in encoder.blocks(text) for _, ids in block)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert count > 5_000 and peak < 2 << 20, (unit, count, peak)
+
+
+def test_other_tokenizers_are_refused():
+    import json
+
+    spec = json.loads(bpe._load(FILE))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {**spec["model"], "byte_fallback": True}}, {"added_tokens": [{**spec["added_tokens"][0], "lstrip": True}]}):
+        with pytest.raises(ValueError, match="plain byte-level"):
+            bpe.Encoder(json.dumps({**spec, **change}))
+
+
 def test_decoder_spans_tokens():
     ids = ENCODER.encode("漢😀")
     assert len(ids) > 2
