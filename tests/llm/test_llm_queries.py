@@ -56,3 +56,51 @@ def test_pipeline_stages(spark, sf):
 def test_pipeline_runs_through(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert 0 < out.count() <= spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def write(tmp_path, docs, benchmark):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_over_odd_rows(spark, odd, tmp_path):
+    """Nulls, empty and very long texts, repeats, clashing columns; each stage on its own, then all of them."""
+    items = spark.createDataFrame([(1, "zero one two three four five six"), (2, None), (None, ""), (3, "  ")], "item_id long, text string")
+    sf = write(tmp_path, odd, items)
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("language ID", "n-gram Jaccard join", "benchmark decontamination", "PII"):
+        out = stages[name](spark, odd, sf)
+        assert out.columns == odd.columns and out.count() <= odd.count()
+    assert {r["doc_id"] for r in stages["n-gram Jaccard join"](spark, odd, sf).collect()} == {1, 2, 3, 4, 5, 6, None}
+    assert stages["benchmark decontamination"](spark, odd, sf).count() == odd.count()
+    assert sorted(str(r["text"])[:50] for r in stages["PII"](spark, odd, sf).collect()) == sorted(str(r["text"])[:50] for r in odd.collect())
+    out = stages["BPE encoding and decoding"](spark, odd, sf)
+    assert out.count() == odd.count() and set(out.columns) == (set(odd.columns) - {"text"}) | {"n_tokens", "ids", "whole"} and out.where("NOT whole").count() == 0
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} <= {1, 4, None}
+
+
+def test_pipeline_over_nothing(spark, nothing, tmp_path):
+    sf = write(tmp_path, nothing, spark.createDataFrame([], "item_id long, text string"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, sf).count() == 0
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_scratch_tables_are_deleted(spark, documents):
+    import os
+
+    from tallyloom.llm import graph, ngram_join
+
+    with graph.scratch(spark):
+        count = ngram_join.classes(documents).count()
+        made = list(graph._made)
+    assert count == documents.count() and made and not any(os.path.exists(p) for p in made if p not in graph._made)
+
+
+def test_samples_are_never_empty():
+    from tallyloom.llm.kernel import sample_bound
+
+    for total in (20_001, 10**6, 10**12, 10**15):
+        assert abs(sample_bound(20_000, total) * total / 2**63 - 20_000) <= 1 or sample_bound(20_000, total) > 0
+    assert sample_bound(20_000, 10**12) > 10**11 and sample_bound(5, 5) == 1 << 63
