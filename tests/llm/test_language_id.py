@@ -39,3 +39,49 @@ def test_rejection_keeps_columns(odd):
     kept = language_id.keep_identified(odd, *language_id.train(odd), least_score=0.3)
     assert kept.columns == odd.columns
     assert {r["doc_id"] for r in kept.collect()} == {1, 4, 7, None}
+
+
+def grams(text):
+    """Buckets of the n-grams of one text by plain loops."""
+    body, open_word = [32], False
+    for c in (text or "").replace("\n", " ").lower():
+        if c.isalpha():
+            body.append(ord(c))
+        elif open_word:
+            body.append(32)
+        open_word = c.isalpha()
+    body.append(32)
+    out = []
+    for k in language_id.ORDERS:
+        for i in range(len(body) - k + 1):
+            if k == 1 and body[i] == 32:
+                continue
+            h = k
+            for c in body[i : i + k]:
+                h = (h ^ c) * 0x01000193 % 2**32
+                h ^= h >> 15
+            out.append((h * 0x85EBCA6B % 2**32) >> 16)
+    return out
+
+
+def test_against_brute_force(spark, documents):
+    import math
+    from collections import Counter
+
+    rows = documents.orderBy("doc_id").limit(60).collect() + [("x", "Ünïcode 漢字 — 𠀀\U00030000!", "fr"), ("y", "\U00030000\U00030001", "de"), ("z", "... ", "en")]
+    rows = [(i, r[1][:2000], r[2]) for i, r in enumerate(rows)]
+    counts, docs = {}, Counter()
+    for _, text, lang in rows:
+        counts.setdefault(lang, Counter()).update(grams(text))
+        docs[lang] += 1
+    totals = {lang: sum(c.values()) + 0.1 * language_id.BUCKETS for lang, c in counts.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in language_id.detect(df, *language_id.train(df)).collect()}
+    for i, text, _ in rows:
+        if not any(c.isalpha() for c in text):
+            assert (out[i]["lang_pred"], out[i]["score"]) == ("und", 0)
+            continue
+        score = {lang: math.log((docs[lang] + 1) / (len(rows) + len(docs))) + sum(math.log((c[g] + 0.1) / totals[lang]) for g in grams(text)) for lang, c in counts.items()}
+        best = max(sorted(score), key=score.get)
+        post = 1 / sum(math.exp(s - score[best]) for s in score.values())
+        assert out[i]["lang_pred"] == best and abs(out[i]["score"] - post) < 0.01

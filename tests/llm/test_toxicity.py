@@ -51,3 +51,30 @@ def test_sentences_do_not_cross_rows():
     words, _, first, at = toxicity.sentences(pa.array(["a b. c", None, "d", "", "e! f? g\nh"]))
     assert list(np.diff(at)) == [2, 0, 1, 0, 4]
     assert list(np.diff(words.rows)) == [3, 0, 1, 0, 4]
+
+
+def test_scores_against_brute_force(made, odd):
+    """Noisy-or of sentence scores by plain loops over words."""
+    import math
+    import re
+
+    import pyarrow as pa
+
+    docs, labels = made
+    weights = toxicity.train(docs, labels)
+    rows = docs.limit(40).union(odd.select("doc_id", "text").where("length(text) < 1000 OR text IS NULL"))
+    out = sorted((str(r["doc_id"]), round(r["score"], 6)) for r in toxicity.score(rows, weights).collect())
+    expected = []
+    for r in rows.collect():
+        clean = 1.0
+        for part in re.split(rb"[\n!.?]", (r["text"] or "").encode()):
+            words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", part)
+            if words:
+                z = float(weights[-1])
+                for w in words:
+                    feats = toxicity.sentences(pa.array([w.decode()]))[1][0]
+                    assert (feats >= 0).sum() == 1 + sum(len(w) > size for size in toxicity.PREFIXES)
+                    z += sum(float(weights[f]) for f in feats if f >= 0)
+                clean *= 1 - 1 / (1 + math.exp(-z))
+        expected.append((str(r["doc_id"]), round(1 - clean, 6)))
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-4 for a, b in zip(out, sorted(expected), strict=True))
