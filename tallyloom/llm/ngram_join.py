@@ -30,7 +30,7 @@ PERCENT = 80
 _CELL_BITS = 18
 #: A column of more entries than this (by the sketch) is dealt out in parts of about as many.
 COLUMN_PART = 4_000
-#: Rows (of two numbers) of a table that may be broadcast; larger ones are joined by a shuffle.
+#: Rows (of one id) of a table that may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Members that are compared with one row in one part.
 BLOCK_ROWS = 2_000
@@ -167,65 +167,28 @@ def counted(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
     members = pairs.join(parts, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_hub"))
     hubs = parts.select(F.col("b").alias("doc_id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_hub"))
-    wanted, path = written(members.unionByName(hubs))
-    total = wanted.count()
-    if not total:
-        return pairs.limit(0)
-    rows = _rows(docs)
-
-    names = ["doc_id", "hub", "part", "is_hub"]
-
-    def sets_of(batches, find):
-        """find: rows of a batch that are wanted, and what for (the columns `names`)."""
-        for batch in batches:
-            for part in slices(batch):
-                rows, columns = find(part)
-                if len(rows):
-                    some, at = np.unique(rows, return_inverse=True)
-                    sets = [s.tobytes() for s in row_sets(part.column("text").take(pa.array(some)))]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([sets[i] for i in at], pa.binary())], [*names, "cells"])
-
-    schema = "doc_id long, hub long, part int, is_hub boolean, cells binary"
-    if total <= BROADCAST_ROWS:
-        table = wanted.toArrow().sort_by([("doc_id", "ascending"), ("hub", "ascending"), ("part", "ascending"), ("is_hub", "ascending")])
-        lists = [table[c].to_numpy() for c in ("doc_id", "hub", "part", "is_hub")]
-        shared = docs.sparkSession.sparkContext.broadcast(lists)
-
-        def here(batches):
-            doc, hub, part, is_hub = shared.value
-
-            def find(batch):
-                ids = batch.column("doc_id").to_numpy()
-                lo, hi = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
-                many = hi - lo
-                begin = np.concatenate(([0], np.cumsum(many)))
-                at = np.repeat(lo - begin[:-1], many) + np.arange(begin[-1])
-                return np.repeat(np.arange(len(ids)), many), [pa.array(x[at]) for x in (doc, hub, part, is_hub)]
-
-            yield from sets_of(batches, find)
-
-        rows = rows.where(F.col("doc_id").isNotNull()).mapInArrow(here, schema)
-    else:
-        rows = rows.join(wanted, "doc_id").select("text", *names)
-        rows = rows.mapInArrow(lambda batches: sets_of(batches, lambda b: (np.arange(b.num_rows), [b.column(c) for c in names])), schema)
+    wanted, _ = written(members.unionByName(hubs))
+    names = ["hub", "part", "is_hub"]
+    # texts, not sets: a set's hashes take more room than the text that it is made of, and do not compress
+    rows = _rows(docs).join(wanted.hint("shuffle_hash"), "doc_id").select("text", "doc_id", *names)
     dealt = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("is_hub"))
 
     def compare(batches):
         key, own = None, []  # sets of one id: more than one if its rows differ
         for batch in batches:
-            doc, hub, part, first = (batch.column(c).to_pylist() for c in names)
-            a, b = [], []
-            for i, cells in enumerate(batch.column("cells")):
-                s = np.frombuffer(cells.as_buffer(), np.uint64)
-                if first[i]:
-                    if key != (hub[i], part[i]):
-                        key, own = (hub[i], part[i]), []
-                    own.append(s.copy())
-                elif key == (hub[i], part[i]) and any(linked(s, o, percent) for o in own):
-                    a.append(doc[i])
-                    b.append(hub[i])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            for some in slices(batch):
+                doc, hub, part, first = (some.column(c).to_pylist() for c in ("doc_id", *names))
+                a, b = [], []
+                for i, cells in enumerate(row_sets(some.column("text"))):
+                    if first[i]:
+                        if key != (hub[i], part[i]):
+                            key, own = (hub[i], part[i]), []
+                        own.append(cells)
+                    elif key == (hub[i], part[i]) and any(linked(cells, o, percent) for o in own):
+                        a.append(doc[i])
+                        b.append(hub[i])
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(compare, "a long, b long")
 
