@@ -33,7 +33,7 @@ COLUMN_PART = 4_000
 #: Rows (of one id) of a table that may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Members that are compared with one row in one part.
-BLOCK_ROWS = 2_000
+BLOCK_ROWS = 500
 #: Entries of a column that are compared with the others in one part.
 PAIR_ROWS = 2_000
 #: Different sets of one task that are remembered.
