@@ -1,4 +1,4 @@
-"""What is accepted of users' entries, as Column expressions: a reason, or null where all is well."""
+"""What is accepted of users' entries, as Column expressions: a reason, or null where all is well; rules of frames and telemetry."""
 
 from __future__ import annotations
 
@@ -34,3 +34,19 @@ def preference(value: Column) -> tuple[Column, Column]:
     none = value.isNull() | F.lower(bare).isin("", "auto")
     refused = ~none & ((F.length(value) > PREFERENCE_CHARS) | ~bare.rlike(r"\A[\p{L}\p{N}_-]+\z"))
     return F.when(~none & ~refused, bare), refused
+
+
+def fast_path(label: Column, ssim: Column, threshold: float = 0.95) -> Column:
+    """Frames as alike as the threshold are incremental whatever their label; an unknown likeness counts as 0."""
+    return F.when(F.coalesce(ssim, F.lit(0.0)) >= threshold, "incremental").otherwise(label)
+
+
+def duration(frames: Column, rate: Column, end_ms: Column) -> Column:
+    """Seconds of frames at a rate (0 or null: 1 a second); where that is not above 0, those of the last position."""
+    seconds = frames / F.coalesce(F.nullif(rate, F.lit(0.0)), F.lit(1.0))
+    return F.when(seconds > 0, seconds).otherwise(end_ms / 1000.0)
+
+
+def fresh(observed_at: Column, now: Column, seconds: int = 30) -> Column:
+    """Whether an observation is not older than that; an unknown one is not fresh."""
+    return F.coalesce(observed_at >= now - F.make_dt_interval(secs=F.lit(seconds)), F.lit(False))

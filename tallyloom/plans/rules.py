@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import nested, rules, text, urls
-from ..operators import boundary
+from ..operators import boundary, resolution
 from .registry import query, table
 
 
@@ -130,3 +130,41 @@ def batched_classifier(spark, sf):
         return ["incremental" if len(p) % 2 == 0 else None if len(prompts) > 1 else "transition" for p in prompts]
 
     return boundary.classified(table(spark, sf, "documents"), "doc_id", "text", answer, {"incremental", "transition"}, "transition")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 > 0 AND (c_custkey % 101) / 100.0::DOUBLE >= 0.95::DOUBLE THEN 'incremental' ELSE 'ambiguous' END AS label FROM customer""")
+def fast_path(spark, sf):
+    n = F.col("c_custkey")
+    return table(spark, sf, "customer").select("c_custkey", rules.fast_path(F.lit("ambiguous"), F.when(n % 7 > 0, n % 101 / 100.0)).alias("label"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 10 / 1000.0::DOUBLE ELSE c_custkey % 3 * c_custkey / greatest(c_custkey % 4, 1)::DOUBLE END AS seconds FROM customer""")
+def duration_fallback(spark, sf):
+    """Every third has no frames, every fourth no rate."""
+    n = F.col("c_custkey")
+    return table(spark, sf, "customer").select("c_custkey", rules.duration(n % 3 * n, (n % 4).cast("double"), n * 10).alias("seconds"))
+
+
+@query("""SELECT user_id, CAST(max(ts) AS VARCHAR) AS observed_at, epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) <= 30000000 AS fresh FROM events GROUP BY 1""")
+def fresh_telemetry(spark, sf):
+    """Each user's last event against the last of all."""
+    rows = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("observed_at"))
+    now = rows.agg(F.max("observed_at").alias("now"))  # one row
+    rows = rows.crossJoin(F.broadcast(now))
+    return rows.select("user_id", F.col("observed_at").cast("string").alias("observed_at"), rules.fresh(F.col("observed_at"), F.col("now")).alias("fresh"))
+
+
+@query("""WITH o AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 2 THEN 'openai' WHEN c_custkey % 4 = 3 AND c_custkey % 5 = 0 THEN 'other' ELSE 'vllm' END AS provider, CASE WHEN c_custkey % 3 = 0 THEN 'm' || c_custkey % 9 END AS model,
+CASE WHEN c_custkey % 7 = 0 THEN 'http://own' END AS url FROM customer), n AS (SELECT s_suppkey, s_name, 'http://' || s_suppkey AS url, 'm' || s_suppkey % 9 AS m1, 'm' || (s_suppkey + 1) % 9 AS m2 FROM supplier WHERE s_suppkey % 4 = 0),
+r AS (SELECT c_custkey, provider, url, coalesce(model, CASE provider WHEN 'vllm' THEN (SELECT m1 FROM n WHERE s_suppkey = (SELECT min(s_suppkey) FROM n)) WHEN 'openai' THEN 'd1' END, 'd0') AS model FROM o),
+f AS (SELECT m, arg_min(s_name, s_suppkey) AS node, arg_min(url, s_suppkey) AS url FROM (SELECT *, unnest([m1, m2]) AS m FROM n) GROUP BY m)
+SELECT c_custkey, provider, model, coalesce(r.url, f.url, 'http://primary') AS base_url, node FROM r LEFT JOIN f ON m = model AND provider = 'vllm'""")
+def resolved_provider(spark, sf):
+    """Customers choose; suppliers are nodes, odd ones without an address, every other even one without a model."""
+    n, s = F.col("c_custkey"), F.col("s_suppkey")
+    chosen = F.when(n % 4 == 0, "vllm").when(n % 4 == 2, "openai").when((n % 4 == 3) & (n % 5 == 0), "other").when(n % 4 == 3, "")
+    owners = table(spark, sf, "customer").select("c_custkey", chosen.alias("provider"), F.when(n % 3 == 0, F.concat(F.lit("m"), (n % 9).cast("string"))).alias("model"), F.when(n % 7 == 0, "http://own").alias("base_url"))
+    name = lambda k: F.concat(F.lit("m"), (k % 9).cast("string"))
+    models = F.when(s % 4 == 2, F.array().cast("array<string>")).otherwise(F.array(name(s), name(s + 1)))
+    nodes = table(spark, sf, "supplier").select(s.alias("position"), F.col("s_name").alias("node"), F.when(s % 2 == 0, F.concat(F.lit("http://"), s.cast("string"))).alias("url"), models.alias("models"))
+    return resolution.resolved(owners, nodes, {"openai": "d1"}, "d0", "http://primary")
