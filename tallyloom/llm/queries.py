@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Tokenizer file; a parameter of every operator that reads one.
 TOKENIZER = "byte_bpe_50k.json"
+#: Model file of op13.
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_file(name: str = TOKENIZER) -> str:
@@ -82,6 +84,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file(PIECES))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
@@ -93,6 +101,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_licenses": op10_licenses,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 _WORDS = """w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
