@@ -84,6 +84,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine
+
+    return mine(table(spark, sf_dir, "embeddings"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece import round_trip
 
@@ -101,6 +107,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_licenses": op10_licenses,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
@@ -126,4 +133,11 @@ g AS (SELECT h.doc_id, h.item_id, h.k, start, sum(wt) AS held FROM (SELECT DISTI
 JOIN b ON b.item_id = h.item_id AND b.s = s.s) h JOIN wt USING (s) GROUP BY ALL),
 x AS (SELECT *, held / total AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(held / total, 9) DESC, start) AS n FROM g JOIN t USING (item_id) WHERE held / total >= 0.8 - 1e-12)
 SELECT doc_id, item_id, start AS first_word, k AS n_words, round(similarity, 6) AS similarity FROM x WHERE n = 1""",
+    "op12_hard_negatives": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS x FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+a AS (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id AS other_id, a.label = v.label AS same, CAST(list_inner_product(a.x, v.x) AS BIGINT) AS score FROM a JOIN v ON a.vec_id <> v.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3""",
 }
