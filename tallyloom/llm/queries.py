@@ -84,6 +84,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hard_negatives import mine
 
@@ -107,6 +113,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_licenses": op10_licenses,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_sentencepiece": op13_sentencepiece,
 }
@@ -116,6 +123,10 @@ n AS (SELECT doc_id, w, CASE WHEN len(w) >= 5 THEN len(w) - 4 WHEN len(w) > 0 TH
 p AS (SELECT doc_id, unnest(range(0, n)) AS p, w FROM n), s AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM p)"""
 _REACH = """c AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT a, a FROM l UNION SELECT b, b FROM l), r AS (SELECT a, b FROM c UNION SELECT r.a, c.b FROM r JOIN c ON c.a = r.b)"""
 
+#: CRC-32 of the decimal conv_id: eight shifts for each of its bytes, under the reflected polynomial.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_ngram_jaccard": f"""WITH RECURSIVE {_WORDS}, d AS (SELECT DISTINCT doc_id, s FROM s), z AS (SELECT doc_id, count(*) AS z FROM d GROUP BY 1),
 o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM d x JOIN d y ON x.s = y.s AND x.doc_id > y.doc_id GROUP BY 1, 2),
@@ -133,6 +144,16 @@ g AS (SELECT h.doc_id, h.item_id, h.k, start, sum(wt) AS held FROM (SELECT DISTI
 JOIN b ON b.item_id = h.item_id AND b.s = s.s) h JOIN wt USING (s) GROUP BY ALL),
 x AS (SELECT *, held / total AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(held / total, 9) DESC, start) AS n FROM g JOIN t USING (item_id) WHERE held / total >= 0.8 - 1e-12)
 SELECT doc_id, item_id, start AS first_word, k AS n_words, round(similarity, 6) AS similarity FROM x WHERE n = 1""",
+    "op11_prefix_trie": f"""WITH t AS (SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words,
+row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, n, id, words FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND n <= h UNION ALL SELECT conv_id, n, id, words FROM c JOIN t USING (conv_id) WHERE n > h),
+s AS (SELECT conv_id, coalesce(list(id ORDER BY n) FILTER (WHERE id IS NOT NULL), []) AS ids, coalesce(list(words ORDER BY n) FILTER (WHERE id IS NOT NULL), []) AS words FROM c LEFT JOIN r USING (conv_id) GROUP BY 1),
+d AS (SELECT *, unnest(range(0, len(ids) + 1)) AS depth FROM s), p AS (SELECT conv_id, depth, array_to_string(ids[1:depth], '') AS k, array_to_string(ids[1:depth - 1], '') AS up, words[depth] AS words, depth = len(ids) AS last FROM d),
+g AS (SELECT k, CASE WHEN depth > 0 THEN up END AS up, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(words), 0) AS words, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256 FROM p GROUP BY ALL),
+n AS (SELECT g.*, (SELECT count(*) FROM g AS x WHERE x.up = g.k) AS n_children FROM g)
+SELECT n.conv_id, n.depth, (SELECT x.conv_id FROM g AS x WHERE x.k = n.up) AS parent_conv_id, n.n_convs, n.n_children, count(*) FILTER (WHERE m.n_children = 0) AS n_leaves, CAST(sum((m.n_convs - 1) * m.words) AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN n AS m ON starts_with(m.k, n.k) GROUP BY n.k, n.up, n.conv_id, n.depth, n.n_convs, n.n_children, n.ends_sha256""",
     "op12_hard_negatives": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS x FROM embeddings
 WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 a AS (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0),
