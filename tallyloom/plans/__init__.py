@@ -1,6 +1,6 @@
 """Named queries over the test tables and the SQL that gives the same rows."""
 
-from . import listing, rules, text, timelines, tracking  # noqa: F401
+from . import listing, rules, search, text, timelines, tracking  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
