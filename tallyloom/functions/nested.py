@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SECTION = "title string, start_timestamp string, end_timestamp string, content_type string, key_topics array<string>"
 #: fixed values: the similarity from which on a transition is incremental unasked
 FAST_PATH = 0.95
 #: fixed values: content types; others count as general
@@ -28,14 +27,20 @@ def first_array(text: Column) -> Column:
 
 
 def sections(text: Column) -> Column:
-    """Array of sections of an answer in JSON (a code fence and text around it are ignored), with defaults; null if there is none."""
-    found = F.from_json(first_array(text), f"array<struct<{', '.join(p.replace(' ', ': ', 1) for p in SECTION.split(', '))}>>")
+    """Array of sections of an answer in JSON (a code fence and text around it are ignored); null if there is none, or if one is no object.
+
+    Missing fields take defaults, explicit nulls stay null, but for the type, where all that is no type is general.
+    """
+    found = F.from_json(first_array(text), "array<map<string, string>>")
+    got = lambda s, name, default: F.when(F.map_contains_key(s, name), s[name]).otherwise(default)
     kind = lambda s: F.when(s["content_type"].isin(*CONTENT_TYPES), s["content_type"]).otherwise("general")
+    none = F.array().cast("array<string>")
     full = lambda s: F.struct(
-        F.coalesce(s["title"], F.lit("Untitled")).alias("title"), F.coalesce(s["start_timestamp"], F.lit("00:00:00")).alias("start_timestamp"), F.coalesce(s["end_timestamp"], F.lit("END")).alias("end_timestamp"),
-        kind(s).alias("content_type"), F.coalesce(s["key_topics"], F.array().cast("array<string>")).alias("key_topics"),
+        got(s, "title", F.lit("Untitled")).alias("title"), got(s, "start_timestamp", F.lit("00:00:00")).alias("start_timestamp"), got(s, "end_timestamp", F.lit("END")).alias("end_timestamp"),
+        kind(s).alias("content_type"), got(s, "key_topics", F.lit("[]")).alias("topics"),
     )
-    return F.when(F.size(found) > 0, F.transform(found, full))
+    listed = lambda s: F.struct(*[s[c].alias(c) for c in ("title", "start_timestamp", "end_timestamp", "content_type")], F.when(s["topics"].isNotNull(), F.coalesce(F.from_json(s["topics"], "array<string>"), none)).alias("key_topics"))
+    return F.when((F.size(found) > 0) & F.forall(found, lambda s: s.isNotNull()), F.transform(F.transform(found, full), listed))
 
 
 def subset(required: Column, offered: Column) -> Column:

@@ -40,3 +40,31 @@ def classified(items: DataFrame, key: str, text: str, answer: Answerer, allowed:
 
     kind = dict(items.dtypes)[key]
     return items.select(key, text).mapInArrow(run, f"{key} {kind}, label string")
+
+
+def answered(items: DataFrame, keys: list[str], prompt: str, answer: Answerer, batch: int = 20) -> DataFrame:
+    """keys and answer of each item: a prompt goes out with others of its batch, and alone if the batch fails; null where that fails
+    too, or where the prompt is null. The caller writes the result if it is read twice, as each reading calls again."""
+
+    def ask(prompts: list[str]) -> list[str | None]:
+        try:
+            got = list(answer(prompts))
+            if len(got) == len(prompts):
+                return got
+        except Exception:  # noqa: BLE001  the provider's failure is an answer too
+            pass
+        return [None] if len(prompts) == 1 else [ask([p])[0] for p in prompts]
+
+    def run(batches):
+        for rows in batches:
+            prompts = rows.column(prompt).to_pylist()
+            got: list[str | None] = [None] * len(prompts)
+            wanted = [i for i, p in enumerate(prompts) if p is not None]
+            for lo in range(0, len(wanted), batch):
+                part = wanted[lo : lo + batch]
+                for i, a in zip(part, ask([prompts[i] for i in part]), strict=True):
+                    got[i] = a
+            yield pa.RecordBatch.from_arrays([*[rows.column(k) for k in keys], pa.array(got, pa.string())], [*keys, "answer"])
+
+    schema = items.select(*keys).schema.add("answer", "string")
+    return items.select(*keys, prompt).mapInArrow(run, schema)
