@@ -4,7 +4,7 @@ A text is normalised by the longest prefix that the model's compiled character m
 bytes and a block of replacements). For every byte of the normalised text the byte of the source that it came from is recorded, so a
 piece, which is a run of normalised bytes, projects to a span of source bytes, whatever was replaced, dropped or put in. Pieces are
 merged by score, best first, the leftmost of equals. Where no piece of the vocabulary holds a space sign after another character, no
-merge crosses the beginning of a word: then words are encoded one by one, and short ones kept. Decoding undoes the space signs and
+merge crosses the beginning of a word: then words are encoded one by one, and short ones kept; so are characters in no longer piece. Decoding undoes the space signs and
 puts byte pieces together to characters.
 """
 
@@ -15,7 +15,8 @@ import re
 import struct
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain, islice
+from itertools import chain, islice, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,15 @@ from pyspark.sql import functions as F
 from .kernel import slices, small_batches
 
 SPACE = "▁"
-#: Entries kept of the cache from word to encoding, and the longest word (characters) kept.
+#: Entries of each half of the cache from word to encoding, and the longest word (characters) kept.
 CACHE_WORDS = 300_000
 CACHE_CHARS = 40
 #: Words that are put together before they are hashed.
 BLOCK_WORDS = 1 << 14
 #: Characters from which on a word is merged over a heap.
 LONG_WORD = 48
+#: Cost of a pair that makes no piece.
+NEVER = float("inf")
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -114,6 +117,9 @@ class Model:
         self.dummy, self.squeeze, self.escape = (bool(normaliser.get(k, 1)) for k in (3, 4, 5))
         #: by piece: what sorts it (best first) and its id
         self.rank = {p: (-score, i) for i, (p, score, kind) in enumerate(pieces) if kind == NORMAL}
+        self.cost = {p: cost for p, (cost, _) in self.rank.items()}
+        self.ids = {p: i for p, (_, i) in self.rank.items()}
+        self.decimal = list(map(str, range(len(pieces))))
         self.bytes = [-1] * 256
         for i, (p, _, kind) in enumerate(pieces):
             if kind == BYTE:
@@ -129,8 +135,12 @@ class Model:
         #: bytes of the normalised text that a piece covers
         self.width = np.array([1 if kind == BYTE else len(p.encode()) for p, _, kind in pieces], np.int64)
         apart = not any(SPACE in p.lstrip(SPACE) for p in self.rank)
-        self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if apart else "(?s:.+)")
+        # a character that is in no longer piece is a word of its own
+        joint = "".join(map(re.escape, sorted({c for p in self.rank if len(p) > 1 for c in p} - {SPACE})))
+        self.words = re.compile(f"{SPACE}+[{joint}]*|[{joint}]+|[^{joint}{SPACE}]" if apart and joint else "(?s:.+)")
+        #: encodings of words: those met since the last change, and those met before it
         self.cache: dict[str, tuple[str, list[int], list[int] | None]] = {}
+        self.before: dict[str, tuple[str, list[int], list[int] | None]] = {}
         self.cache_words = cache_words
 
     # normalising
@@ -195,15 +205,16 @@ class Model:
         """The pieces of a word: pairs are merged best first, the leftmost of equals first."""
         rank, parts = self.rank, list(word)
         if len(parts) < LONG_WORD:
-            while len(parts) > 1:
-                best, at = None, -1
-                for i in range(len(parts) - 1):
-                    found = rank.get(parts[i] + parts[i + 1])
-                    if found and (best is None or found[0] < best):
-                        best, at = found[0], i
-                if best is None:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            cost = self.cost.get
+            costs = list(map(cost, map(add, parts, parts[1:]), repeat(NEVER)))
+            while costs and (best := min(costs)) != NEVER:
+                at = costs.index(best)
+                parts[at] += parts.pop(at + 1)
+                del costs[at]
+                if at:
+                    costs[at - 1] = cost(parts[at - 1] + parts[at], NEVER)
+                if at < len(costs):
+                    costs[at] = cost(parts[at] + parts[at + 1], NEVER)
             return parts
         n = len(parts)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -224,35 +235,33 @@ class Model:
 
     def word(self, word: str) -> tuple[str, list[int], list[int] | None]:
         """The word's ids joined by commas, the ids, and the bytes that each covers where the vocabulary does not say so."""
-        kept = self.cache.get(word)
+        kept = self.before.get(word)
         if kept is None:
-            ids: list[int] = []
-            widths: list[int] | None = None
-            for piece in self.merged(word):
-                found = self.rank.get(piece)
-                if found:
-                    new, wide = [found[1]], [int(self.width[found[1]])]
-                elif self.fallback:
-                    new = [self.bytes[b] for b in piece.encode()]
-                    wide = [1] * len(new)
-                else:
-                    new, wide = [self.unknown], [len(piece.encode())]
-                    widths = widths if widths is not None else [int(self.width[i]) for i in ids]
-                ids += new
-                if widths is not None:
-                    widths += wide
-            kept = ",".join(map(str, ids)), ids, widths
-            if len(word) <= CACHE_CHARS:
-                if len(self.cache) >= self.cache_words:
-                    self.cache.clear()
-                self.cache[word] = kept
+            pieces, widths = self.merged(word), None
+            ids = list(map(self.ids.get, pieces))
+            if None in ids:
+                ids, widths = self._unknown(pieces)
+            kept = ",".join(map(self.decimal.__getitem__, ids)), ids, widths
+        if len(word) <= CACHE_CHARS:
+            if len(self.cache) >= self.cache_words:
+                self.before, self.cache = self.cache, {}
+            self.cache[word] = kept
         return kept
 
+    def _unknown(self, pieces: list[str]) -> tuple[list[int], list[int] | None]:
+        """Ids of pieces some of which are not in the vocabulary; without byte fallback also the bytes that each covers."""
+        if self.fallback:
+            return [i for p in pieces for i in ([self.ids[p]] if p in self.ids else map(self.bytes.__getitem__, p.encode()))], None
+        return [self.ids.get(p, self.unknown) for p in pieces], [len(p.encode()) for p in pieces]
+
     def blocks(self, normalised: str) -> Iterator[list[tuple[str, list[int], list[int] | None]]]:
         """The words of a normalised text, a block at a time. Unknown characters in a row are one unknown piece within a word."""
-        get, make = self.cache.get, self.word
         words = map(re.Match.group, self.words.finditer(normalised))
-        while block := [get(w) or make(w) for w in islice(words, BLOCK_WORDS)]:
+        while True:
+            get, make = self.cache.get, self.word
+            block = [get(w) or make(w) for w in islice(words, BLOCK_WORDS)]
+            if not block:
+                return
             yield block
 
     def pieces(self, text: str) -> tuple[list[str], list[int], np.ndarray, np.ndarray]:
