@@ -242,3 +242,49 @@ def regranted(roles: DataFrame, commands: DataFrame) -> DataFrame:
     change = want.isNotNull() & (F.col("active").isNull() | (want != F.col("active"))) & ~(F.col("active").isNull() & (F.col("command") == "revoke"))
     out = both.select("user_id", F.when(change, want).otherwise(F.col("active")).alias("active"), (F.coalesce("changes", F.lit(0)) + change.cast("int")).alias("changes"), change.alias("changed"))
     return out.where(F.col("active").isNotNull())
+
+
+def applied(roles: DataFrame, commands: DataFrame) -> DataFrame:
+    """The change feed of roles (user_id, active): a row for each command (user_id, at, id, command, by, reason) that changes a state.
+
+    Commands count in the order of at and id. A grant changes what is not active, a revocation what is. After a command the state is
+    as commanded, whether it changed or not, so what a command finds is the command before it, or the role. change: granted (the
+    user's first), regranted or revoked. Other commands, and those of a null user, are none.
+    """
+    known = commands.where(F.col("command").isin("grant", "revoke") & F.col("user_id").isNotNull())
+    over = Window.partitionBy("user_id").orderBy("at", "id")
+    both = known.join(roles.select("user_id", F.col("active").alias("_active")), "user_id", "left")
+    target = F.col("command") == "grant"
+    found = F.coalesce(F.lag(target).over(over), F.col("_active"), F.lit(False))
+    ever = F.col("_active").isNotNull() | F.coalesce(F.max(target).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    rows = both.withColumns({"_found": found, "_ever": ever}).where(F.col("_found") != target)
+    change = F.when(F.col("command") == "revoke", "revoked").when(F.col("_ever"), "regranted").otherwise("granted")
+    return rows.select("user_id", "at", "id", change.alias("change"), "by", "reason")
+
+
+def audited(roles: DataFrame, feed: DataFrame) -> DataFrame:
+    """Roles (user_id, active, granted_by, granted_at, grant_reason, revoked_by, revoked_at, revoke_reason) after a change feed.
+
+    A grant sets who, when and why and clears the revocation but for its reason; a revocation keeps the grant.
+    """
+    revoked = F.col("change") == "revoked"
+    at = F.struct("at", "id")
+    last = lambda c, what: F.max_by(F.when(what, F.struct(F.col(c).alias("v"))), F.when(what, at))["v"].alias(f"_{c}_{'r' if what is revoked else 'g'}")
+    granted = ~revoked
+    sums = feed.groupBy("user_id").agg(F.max_by(granted, at).alias("_active"), F.bool_or(granted).alias("_granted"), F.bool_or(revoked).alias("_revoked"), *[last(c, w) for w in (granted, revoked) for c in ("by", "at", "reason")])
+    both = roles.join(sums, "user_id", "full_outer")
+    new = F.col("_active").isNotNull()
+    given, taken = F.coalesce("_granted", F.lit(False)), F.coalesce("_revoked", F.lit(False))
+    pick = lambda c, has, value: F.when(has, F.col(value)).otherwise(F.col(c))
+    cleared = lambda c, value: F.when(new & F.col("_active"), None).otherwise(pick(c, taken, value)).alias(c)
+    return both.select(
+        "user_id", F.coalesce("_active", "active").alias("active"), pick("granted_by", given, "_by_g").alias("granted_by"), pick("granted_at", given, "_at_g").alias("granted_at"), pick("grant_reason", given, "_reason_g").alias("grant_reason"),
+        cleared("revoked_by", "_by_r"), cleared("revoked_at", "_at_r"), pick("revoke_reason", taken, "_reason_r").alias("revoke_reason"),
+    )
+
+
+def validity(feed: DataFrame) -> DataFrame:
+    """user_id, valid_from, valid_to (null: still valid), granted_by, ended_by of each time that a feed's grant held."""
+    over = Window.partitionBy("user_id").orderBy("at", "id")
+    rows = feed.withColumns({"_to": F.lead("at").over(over), "_by": F.lead("by").over(over)}).where("change <> 'revoked'")
+    return rows.select("user_id", F.col("at").alias("valid_from"), F.col("_to").alias("valid_to"), F.col("by").alias("granted_by"), F.col("_by").alias("ended_by"))
