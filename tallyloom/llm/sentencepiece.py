@@ -33,6 +33,9 @@ CACHE_CHARS = 40
 BLOCK_WORDS = 1 << 14
 #: Characters from which on a word is merged over a heap.
 LONG_WORD = 48
+#: Characters of a text up to which its words are held in a list; new words from which on they are merged together.
+TEXT_CHARS = 1 << 20
+FEW_WORDS = 64
 #: Cost of a pair that makes no piece.
 NEVER = float("inf")
 #: Piece types of the model format.
@@ -94,6 +97,85 @@ class CharacterMap:
         return found[0], self.replacements[found[1] : self.replacements.index(b"\0", found[1])]
 
 
+class Pairs:
+    """Which two symbols make which, as arrays, and the merging of many words at once.
+
+    Symbols are the pieces of a vocabulary and the single characters in them, by number. Costs are numbered by their order.
+    """
+
+    def __init__(self, rank: dict[str, tuple[float, int]]):
+        symbols = sorted({*rank, *(c for p in rank for c in p)})
+        number = {s: i for i, s in enumerate(symbols)}
+        self.count = len(symbols)
+        costs = {c: i for i, c in enumerate(sorted({cost for cost, _ in rank.values()}))}
+        made = [(number[p[:i]] * self.count + number[p[i:]], costs[cost], number[p]) for p, (cost, _) in rank.items() for i in range(1, len(p)) if p[:i] in number and p[i:] in number]
+        table = np.array(sorted(made) or [(-1, 0, 0)], np.int64)
+        self.keys, self.costs, self.made = table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy()
+        self.never = len(costs)
+        #: by code point: the character's symbol, or -1
+        self.of = np.full(0x110000, -1, np.int64)
+        for s in symbols:
+            if len(s) == 1:
+                self.of[ord(s)] = number[s]
+        #: by symbol: id of its piece, or -1
+        self.piece = np.array([rank[s][1] if s in rank else -1 for s in symbols], np.int64)
+
+    def looked_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cost and symbol of each pair."""
+        key = left * self.count + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.costs[at], self.never), self.made[at]
+
+    def merged(self, words: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Of words whose merging ended in pieces only: their places in the list; ids of all, and how many each has.
+
+        In each round the cheapest pair of every word is merged, the leftmost of equals; only pairs beside it are looked up again.
+        """
+        sizes = np.array([len(w) for w in words], np.int64)
+        symbol = self.of[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        word = np.repeat(np.arange(len(words)), sizes)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        known = np.ones(len(words), bool)
+        known[word[symbol < 0]] = False
+        keep = known[word]
+        symbol, word = symbol[keep], word[keep]
+        cost, made = np.full(len(symbol), self.never), np.zeros(len(symbol), np.int64)  # of the pair that begins here
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        cost[inner], made[inner] = self.looked_up(symbol[inner], symbol[inner + 1])
+        while len(symbol):
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            least = np.minimum.reduceat(cost, first)
+            going = least < self.never
+            size = np.diff(np.append(first, len(word)))
+            if not going.all():
+                ended = np.repeat(~going, size)
+                done.append((word[ended], symbol[ended]))
+                symbol, word, cost, made = (x[~ended] for x in (symbol, word, cost, made))
+                least, size = least[going], size[going]
+            if not len(symbol):
+                break
+            at = np.flatnonzero(cost == np.repeat(least, size))
+            at = at[np.append(True, word[at[1:]] != word[at[:-1]])]  # the leftmost of each word
+            symbol[at] = made[at]
+            keep = np.ones(len(symbol), bool)
+            keep[at + 1] = False
+            symbol, word, cost, made = (x[keep] for x in (symbol, word, cost, made))
+            at -= np.arange(len(at))
+            changed = np.concatenate((at[at > 0] - 1, at))
+            inner = changed[(changed + 1 < len(word)) & (word[np.minimum(changed + 1, len(word) - 1)] == word[changed])]
+            cost[changed] = self.never
+            cost[inner], made[inner] = self.looked_up(symbol[inner], symbol[inner + 1])
+        if not done:
+            return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        word, symbol = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(word, kind="stable")
+        word, ids = word[order], self.piece[symbol[order]]
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        whole = np.minimum.reduceat(ids, first) >= 0
+        size = np.diff(np.append(first, len(word)))
+        return word[first][whole].tolist(), ids[np.repeat(whole, size)], size[whole]
+
+
 class Model:
     """What a model file says, and its encoder and decoder. Unigram models, user-defined or unused pieces and denormalisers are refused."""
 
@@ -119,6 +201,7 @@ class Model:
         self.rank = {p: (-score, i) for i, (p, score, kind) in enumerate(pieces) if kind == NORMAL}
         self.cost = {p: cost for p, (cost, _) in self.rank.items()}
         self.ids = {p: i for p, (_, i) in self.rank.items()}
+        self.pairs = Pairs(self.rank)
         self.decimal = list(map(str, range(len(pieces))))
         self.bytes = [-1] * 256
         for i, (p, _, kind) in enumerate(pieces):
@@ -139,8 +222,8 @@ class Model:
         joint = "".join(map(re.escape, sorted({c for p in self.rank if len(p) > 1 for c in p} - {SPACE})))
         self.words = re.compile(f"{SPACE}+[{joint}]*|[{joint}]+|[^{joint}{SPACE}]" if apart and joint else "(?s:.+)")
         #: encodings of words: those met since the last change, and those met before it
-        self.cache: dict[str, tuple[str, list[int], list[int] | None]] = {}
-        self.before: dict[str, tuple[str, list[int], list[int] | None]] = {}
+        self.cache: dict[str, tuple[str, tuple[int, ...], list[int] | None]] = {}
+        self.before: dict[str, tuple[str, tuple[int, ...], list[int] | None]] = {}
         self.cache_words = cache_words
 
     # normalising
@@ -233,7 +316,7 @@ class Model:
                     heappush(heap, (found[0], a, b, parts[a] + parts[b]))
         return [p for p in parts if p]
 
-    def word(self, word: str) -> tuple[str, list[int], list[int] | None]:
+    def word(self, word: str) -> tuple[str, tuple[int, ...], list[int] | None]:
         """The word's ids joined by commas, the ids, and the bytes that each covers where the vocabulary does not say so."""
         kept = self.before.get(word)
         if kept is None:
@@ -241,22 +324,38 @@ class Model:
             ids = list(map(self.ids.get, pieces))
             if None in ids:
                 ids, widths = self._unknown(pieces)
-            kept = ",".join(map(self.decimal.__getitem__, ids)), ids, widths
+            kept = ",".join(map(self.decimal.__getitem__, ids)), tuple(ids), widths
         if len(word) <= CACHE_CHARS:
             if len(self.cache) >= self.cache_words:
                 self.before, self.cache = self.cache, {}
             self.cache[word] = kept
         return kept
 
+    def learned(self, texts: list[str]) -> list[list[str] | None]:
+        """Words of each text once normalised, None for long ones; those that are new are merged together and kept."""
+        listed = [self.words.findall(self.normalised(t)) if len(t) <= TEXT_CHARS else None for t in texts]
+        held, before = self.cache, self.before
+        new = [w for w in {w for words in listed if words for w in words if w not in held} if len(w) <= CACHE_CHARS and w not in before]
+        if len(new) >= FEW_WORDS:
+            which, ids, sizes = self.pairs.merged(new)
+            if len(held) + len(which) > self.cache_words:
+                self.before, self.cache = held, {}
+            ids, cache, decimal, at = ids.tolist(), self.cache, self.decimal.__getitem__, 0
+            for i, size in zip(which, sizes.tolist(), strict=True):
+                own = tuple(ids[at : at + size])  # what holds no containers is nothing for the garbage collector
+                cache[new[i]] = (",".join(map(decimal, own)), own, None)
+                at += size
+        return listed
+
     def _unknown(self, pieces: list[str]) -> tuple[list[int], list[int] | None]:
         """Ids of pieces some of which are not in the vocabulary; without byte fallback also the bytes that each covers."""
         if self.fallback:
             return [i for p in pieces for i in ([self.ids[p]] if p in self.ids else map(self.bytes.__getitem__, p.encode()))], None
         return [self.ids.get(p, self.unknown) for p in pieces], [len(p.encode()) for p in pieces]
 
-    def blocks(self, normalised: str) -> Iterator[list[tuple[str, list[int], list[int] | None]]]:
-        """The words of a normalised text, a block at a time. Unknown characters in a row are one unknown piece within a word."""
-        words = map(re.Match.group, self.words.finditer(normalised))
+    def blocks(self, normalised: str, words: list[str] | None = None) -> Iterator[list[tuple[str, tuple[int, ...], list[int] | None]]]:
+        """The words of a normalised text, a block at a time; words: these words, where they are known."""
+        words = iter(words) if words is not None else map(re.Match.group, self.words.finditer(normalised))
         while True:
             get, make = self.cache.get, self.word
             block = [get(w) or make(w) for w in islice(words, BLOCK_WORDS)]
@@ -264,13 +363,13 @@ class Model:
                 return
             yield block
 
-    def pieces(self, text: str) -> tuple[list[str], list[int], np.ndarray, np.ndarray]:
+    def pieces(self, text: str, words: list[str] | None = None) -> tuple[list[str], list[int], np.ndarray, np.ndarray]:
         """Ids of each word joined by commas, all ids, and where in the source's bytes each begins and ends."""
         normalised, places = self.aligned(text)
         joined: list[str] = []
         ids: list[int] = []
         other: list[tuple[int, list[int]]] = []  # bytes of the pieces of words with unknown ones
-        for block in self.blocks(normalised):
+        for block in self.blocks(normalised, words):
             joined += [b[0] for b in block]
             if self.fallback:
                 ids += chain.from_iterable([b[1] for b in block])
@@ -297,12 +396,12 @@ class Model:
             end[at] = np.where(np.arange(len(at)) - lead == size - 1, end[at], begin[at])
         return begin, end
 
-    def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+    def encode(self, text: str, words: list[str] | None = None) -> tuple[list[int], np.ndarray, np.ndarray]:
         """Ids of a text, and where in its bytes each begins and ends.
 
         Of the bytes that one character falls back to, the last has the character's span and the others an empty one at its beginning.
         """
-        _, ids, begin, end = self.pieces(text)
+        _, ids, begin, end = self.pieces(text, words)
         return (ids, begin, end) if self.fallback else self._joined(ids, begin, end)
 
     def _joined(self, ids: list[int], begin: np.ndarray, end: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -362,13 +461,13 @@ class Model:
             return self.decode(ids)
         return text[1:] if self.piece[ids[0]].startswith(SPACE) else text
 
-    def digest(self, text: str) -> tuple[int, str, str, str]:
+    def digest(self, text: str, words: list[str] | None = None) -> tuple[int, str, str, str]:
         """Number of ids, SHA-256 of the ids joined by commas, of the text decoded from them, and of the spans (begin:end, by commas)."""
-        words, ids, begin, end = self.pieces(text)
+        said, ids, begin, end = self.pieces(text, words)
         if not self.fallback:
             ids, begin, end = self._joined(ids, begin, end)
-            words = map(str, ids)
-        joined = ",".join(words)
+            said = map(str, ids)
+        joined = ",".join(said)
         spans = np.stack((begin, end), 1).astype("<i8").tobytes()
         hashed = [hashlib.sha256(x).hexdigest() for x in (joined.encode(), self.decoded(ids).encode(), spans)]
         return len(ids), *hashed
@@ -410,7 +509,8 @@ def encode(docs: DataFrame, file: str) -> DataFrame:
         model = _model(*shared)
         for batch in batches:
             for part in slices(batch):
-                rows = [(None,) * 3 if t is None else model.encode(t) for t in part.column("text").to_pylist()]
+                texts = part.column("text").to_pylist()
+                rows = [(None,) * 3 if t is None else model.encode(t, w) for t, w in zip(texts, model.learned([t or "" for t in texts]), strict=True)]
                 made = [pa.array(x, pa.list_(kind)) for x, (_, kind) in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", *[c for c, _ in kinds]])
 
@@ -442,7 +542,8 @@ def round_trip(docs: DataFrame, file: str) -> DataFrame:
         model = _model(*shared)
         for batch in batches:
             for part in slices(batch):
-                n, a, b, c = zip(*[model.digest(t or "") for t in part.column("text").to_pylist()], strict=True)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                n, a, b, c = zip(*[model.digest(t, w) for t, w in zip(texts, model.learned(texts), strict=True)], strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(c)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
