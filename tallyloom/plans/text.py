@@ -265,6 +265,28 @@ def url_guard(spark, sf):
     return table(spark, sf, "events").select("event_id", urls.guard(url).alias("refused"), urls.host(url).alias("host"))
 
 
+_NETS = ((0, 8), (10 << 24, 8), (0x64400000, 10), (127 << 24, 8), (0xA9FE0000, 16), (0xAC100000, 12), (0xC0000000, 24), (0xC0000200, 24), (0xC0A80000, 16), (0xC6120000, 15), (0xC6336400, 24), (0xCB007100, 24), (0xE0000000, 4), (0xF0000000, 4))
+
+
+@query(f"""WITH n AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN [{", ".join(str(n + 5) for n, _ in _NETS)}][event_id % 14 + 1] ELSE event_id * 2654435761 % 4294967296 END AS n FROM events)
+SELECT event_id, '00000000000000000000ffff' || lpad(lower(to_hex(n)), 8, '0') AS form, {" OR ".join(f"n BETWEEN {n} AND {n + (1 << 32 - bits) - 1}" for n, bits in _NETS)} AS internal FROM n""")
+def address_forms(spark, sf):
+    """An IPv4 address for each event, a third of them not public, in eight spellings."""
+    e = F.col("event_id")
+    nets = F.element_at(F.array(*[F.lit(n + 5).cast("long") for n, _ in _NETS]), (e % 14 + 1).cast("int"))
+    n = F.when(e % 3 == 0, nets).otherwise(e.cast("long") * 2654435761 % 4294967296)
+    byte = lambda k: F.shiftrightunsigned(n, k).bitwiseAND(F.lit(255).cast("long"))
+    text_of = lambda c: c.cast("string")
+    hexed = F.lpad(F.lower(F.hex(n)), 8, "0")
+    dotted = F.concat_ws(".", *[text_of(byte(k)) for k in (24, 16, 8, 0)])
+    forms = [
+        dotted, text_of(n), F.concat(F.lit("0x"), F.lower(F.hex(n))), F.concat_ws(".", text_of(byte(24)), text_of(n.bitwiseAND(F.lit(0xFFFFFF).cast("long")))), F.concat_ws(".", F.concat(F.lit("0x"), F.hex(byte(24))), text_of(byte(16)), text_of(n.bitwiseAND(F.lit(0xFFFF).cast("long")))),
+        F.concat(F.lit("::ffff:"), dotted), F.concat(F.lit("0:0:0:0:0:FFFF:"), F.left(hexed, F.lit(4)), F.lit(":"), F.right(hexed, F.lit(4))), F.concat(dotted, F.lit(".")),
+    ]
+    h = F.lower(F.element_at(F.array(*forms), (e % 8 + 1).cast("int")))
+    return table(spark, sf, "events").select("event_id", urls.canonical_address(h).alias("form"), urls.internal_host(h).alias("internal"))
+
+
 @query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host, nullif(regexp_extract(url, '//[^/]*/([a-z]+)/', 1), 'fr') AS lang, CASE WHEN page_id % 7 > 0 THEN page_id % 7 END AS id, 'u' || page_id % 5 AS u, page_id % 4 = 0 AS gone FROM pages)
 SELECT p.page_id, min(q.page_id) AS duplicate_of FROM p LEFT JOIN p q ON q.host = p.host AND q.page_id < p.page_id AND NOT q.gone AND q.lang IS NOT DISTINCT FROM p.lang AND (q.id = p.id OR q.id IS NULL AND p.id IS NULL AND q.u = p.u) GROUP BY 1""")
 def dup_detect(spark, sf):
