@@ -107,58 +107,44 @@ def test_watchdog(spark):
     assert [r["failures"] for r in out if r["k"] == 2] == [1, 0]
 
 
-def packs(sentences, most):
-    done, now = [], ""
-    for s in sentences:
-        trial = (now + " " + s if now else s).strip()
-        if len(trial) > most and now:
-            done.append(now.strip())
-            now = s
-        else:
-            now = trial
-    return done + ([now.strip()] if now.strip() else [])
-
-
-def splits(lines, ends):
-    done, now, images, since = [], [], [], 0
-
-    def flush():
-        nonlocal now, images, since
-        whole = "\n".join(now).strip()
-        done.extend(([("text", whole)] if whole else []) + [("marker", i) for i in images])
-        now, images, since = [], [], 0
-
-    for line in lines:
-        if re.match(r"## \[\d\d:\d\d:\d\d\]", line):
-            flush()
-            done.append(("marker", line))
-        elif re.match(r"!\[Snapshot at \d\d:\d\d:\d\d\]", line):
-            images.append(line)
-            since = 0
-        else:
-            now.append(line)
-            if images:
-                since += 1
-                spoken = re.sub(r"^\[\d\d:\d\d:\d\d\]\s*", "", line).rstrip()
-                if (spoken and ends[spoken]) or since >= 3:
-                    flush()
-    flush()
-    return done
-
-
-def test_packing_and_sections_against_loops(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    found = {}
-    for r in plans.QUERIES["greedy_pack_sentences"](spark, sf).collect():
-        found.setdefault(r["doc_id"], {})[r["sequence"]] = r["length"]
-    sentences = {r["doc_id"]: r["s"] for r in docs.select("doc_id", text.sentences(F.col("text")).alias("s")).collect()}
-    for d, s in sentences.items():
-        assert [n for _, n in sorted(found.get(d, {}).items())] == [len(p) for p in packs(s, 500)]
-
+def test_packed_sentences_fill_each_segment(spark, sf):
+    """Segments are the sentences in order; one of several keeps the limit, and none had room for the sentence after it."""
+    limit = 500
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select(text.sentences(F.col("text")).alias("s")).select("s", folds.packed_sentences(F.col("s"), limit).alias("p")).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    for r in rows:
+        words = lambda parts: " ".join(parts).split()
+        assert words(r["p"]) == words(r["s"])
+        rest = [s for s in r["s"] if s.strip()]
+        for segment in r["p"]:
+            took = 0
+            while len(words(rest[:took])) < len(segment.split()):
+                took += 1
+            assert took == 1 or len(segment) <= limit
+            rest = rest[took:]
+            assert not rest or len(f"{segment} {rest[0]}".strip()) > limit
+        assert not rest
+
+
+IMAGE, OTHER, PART = "![Snapshot at 00:00:05](x)", "![Snapshot at 00:00:09](y)", "## [00:00:10] Part"
+#: lines, and their sections: texts as they are, markers in a list
+SECTIONS = [
+    (["a", "b"], ["a\nb"]), ([], []), (["", "  "], []), (["a", PART, "b"], ["a", [PART], "b"]), ([IMAGE, "It ends.", "b"], ["It ends.", [IMAGE], "b"]), (["a", IMAGE, "b", "c", "d", "e"], ["a\nb\nc\nd", [IMAGE], "e"]),
+    (["a", IMAGE, "b", OTHER, "c", "d", "An end!"], ["a\nb\nc\nd\nAn end!", [IMAGE], [OTHER]]), ([IMAGE, PART, "a"], [[IMAGE], [PART], "a"]), ([IMAGE, "b", PART], ["b", [IMAGE], [PART]]), ([IMAGE, "etc.", "c", "d", "e"], ["etc.\nc\nd", [IMAGE], "e"]),
+    ([IMAGE, "[00:00:02] It ends!", "x"], ["[00:00:02] It ends!", [IMAGE], "x"]), ([IMAGE], [[IMAGE]]), ([IMAGE, "", "", "", "x"], [[IMAGE], "x"]),
+]
+
+
+def test_marked_sections(spark):
+    told = lambda sections: [s["content"] if s["type"] == "text" else [s["content"]] for s in sections]
+    assert [told(o) for o in each(spark, [lines for lines, _ in SECTIONS], folds.marked_sections, "array<string>")] == [x for _, x in SECTIONS]
+
+
+def test_marked_sections_lose_nothing(spark):
     random.seed(5)
-    pool = ["plain words", "An end.", "[00:00:01] stamped, and", "[00:00:02] It ends!", "![Snapshot at 00:00:05](x)", "## [00:00:10] Part", "", "etc.", "  ", "![Snapshot at 00:00:09](y)"]
+    pool = ["plain words", "An end.", "[00:00:01] stamped, and", "[00:00:02] It ends!", IMAGE, PART, "", "etc.", "  ", OTHER]
     rows = [[random.choice(pool) for _ in range(random.randint(0, 15))] for _ in range(150)]
-    spoken = sorted({re.sub(r"^\[\d\d:\d\d:\d\d\]\s*", "", p).rstrip() for p in pool})
-    ends = dict(zip(spoken, each(spark, spoken, text.ends_sentence), strict=True))
-    out = each(spark, rows, folds.marked_sections, "array<string>")
-    assert [[(s["type"], s["content"]) for s in o] for o in out] == [splits(r, ends) for r in rows]
+    for lines, sections in zip(rows, each(spark, rows, folds.marked_sections, "array<string>"), strict=True):
+        marks = {IMAGE, OTHER, PART}
+        assert [s["content"] for s in sections if s["type"] == "marker"] == [x for x in lines if x in marks]
+        assert " ".join(s["content"] for s in sections if s["type"] == "text").split() == " ".join(x for x in lines if x not in marks).split()
