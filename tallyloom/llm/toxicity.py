@@ -7,6 +7,8 @@ the class shares of all labelled rows; a document that is found toxic comes with
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,9 +21,8 @@ BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7)
 #: About so many labelled rows of each class at most are fitted, chosen by a hash of the id.
 MAX_TRAINING_ROWS = 2_500
-#: Texts of more characters are not fitted, so that the sample is bounded in bytes too: 2 * MAX_TRAINING_ROWS texts of this length
-#: have some 0.5 GB of features, and usual ones a hundredth. They are scored like all others.
-MAX_TRAINING_CHARS = 32_768
+#: Of a text's sentences so many at most are fitted, evenly spread over the text, so that the sample is bounded in bytes too. All are scored.
+MAX_TRAINING_SENTENCES = 1_000
 EPOCHS = 250
 #: Weight decay, and the pull to zero that makes the weights sparse.
 DECAY, SPARSITY = 0.3, 0.5
@@ -66,7 +67,7 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5, rest: int = 0, max_rows: int = MAX_TRAINING_ROWS) -> np.ndarray | None:
-    """Weights (BUCKETS of them, then the bias), or None if not both classes occur.
+    """Weights (BUCKETS of them, then the bias), or None, with a warning, if not both classes occur among labelled texts.
 
     Ids of the held-out fold (crc32 modulo `mod` is `rest`), null ids and null labels are left out; an id that is labelled
     more than once counts as toxic if any of its labels is 1.
@@ -75,7 +76,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % mod != rest)
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
-        return None
+        return _nothing(sizes)
     sample = sampled(known.where("y = 1"), "doc_id", max_rows, sizes[1]).unionByName(sampled(known.where("y = 0"), "doc_id", max_rows, sizes[0]))
 
     def run(batches):
@@ -86,21 +87,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5
                 for i, y in enumerate(part.column("y").to_pylist()):
                     lo, hi = words.rows[i], words.rows[i + 1]
                     edges = np.append(first[at[i] : at[i + 1]], hi)
-                    per = [np.unique(f[f >= 0]) for f in (feats[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True))] if hi > lo else []
+                    spans = list(zip(edges[:-1], edges[1:], strict=True)) if hi > lo else []
+                    if len(spans) > MAX_TRAINING_SENTENCES:
+                        spans = [spans[k] for k in np.linspace(0, len(spans) - 1, MAX_TRAINING_SENTENCES).astype(int)]
+                    per = [np.unique(f[f >= 0]) for f in (feats[a:b] for a, b in spans)]
                     out_feats.append(np.concatenate(per) if per else np.zeros(0, np.int32))
                     out_sizes.append(np.array([len(p) for p in per], np.int32))
                     out_y.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(out_y, pa.int32()), pa.array(out_sizes, pa.list_(pa.int32())), pa.array(out_feats, pa.list_(pa.int32()))], ["y", "sizes", "feats"])
 
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= MAX_TRAINING_CHARS)
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = rows.join(F.broadcast(sample), "doc_id").select("text", "y").mapInArrow(run, "y int, sizes array<int>, feats array<int>").toArrow()  # at most about 2 * max_rows texts
     parts = {c: [x.values.to_numpy() for x in found[c]] for c in ("sizes", "feats")}
     bags = sorted((y, len(f), int(f[:50].sum()), i) for i, (y, f) in enumerate(zip(found["y"].to_pylist(), parts["feats"], strict=True)) if len(f))  # one order whatever the partitions were
-    if len({b[0] for b in bags}) < 2:
-        return None
+    if len(classes := {b[0] for b in bags}) < 2:
+        return _nothing(classes)
     return _fit(np.array([b[0] for b in bags], float), *([parts[c][b[-1]] for b in bags] for c in ("sizes", "feats")), sizes)
 
 
+def _nothing(classes) -> None:
+    if classes:  # without any label there is nothing to say
+        warnings.warn(f"labelled texts are all of class {sorted(classes)}: every text will score 0", stacklevel=3)
+
+
 def _fit(y: np.ndarray, sizes: list, feats: list, labelled: dict) -> np.ndarray:
     used, feat = np.unique(np.concatenate(feats), return_inverse=True)
     docs_with = np.bincount(feat, minlength=len(used))
