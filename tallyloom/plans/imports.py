@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import strict
+from ..sources import job_documents, strict
 from ..sources.tables import shared_folder
 from .registry import query, table
 
@@ -53,3 +53,18 @@ def strict_job_import(spark, sf):
     return out.select(
         F.get_json_object("line", "$.k").cast("long").alias("k"), "reason", F.size("job.videos").cast("long").alias("videos"), "job.video_url", F.col("job.logs")[0]["level"].alias("level"), F.col("job.documents")[0]["format"].alias("format")
     ).withColumn("videos", F.when(F.col("reason").isNull(), F.col("videos")))
+
+
+@query("""WITH f AS (SELECT c_nationkey AS k, sha256(string_agg(c_custkey || ' ' || c_name || chr(10), '' ORDER BY c_custkey)) AS sha, sum(strlen(c_custkey || ' ' || c_name || chr(10))) AS n FROM customer GROUP BY 1)
+SELECT 'nation=' || k AS path, CASE k % 5 WHEN 0 THEN 'extra' WHEN 1 THEN 'checksum mismatch' END AS problem, sha AS sha256, CAST(n AS BIGINT) AS size_bytes FROM f
+UNION ALL SELECT 'nation=' || k || '/../x', 'invalid path', NULL, NULL FROM f WHERE k % 5 = 2 UNION ALL SELECT 'lost=' || k, 'missing', NULL, NULL FROM f WHERE k % 5 = 3""")
+def manifest_verification(spark, sf):
+    """A file of customers for each nation, and a manifest that leaves out, misstates and makes up some of them."""
+    folder = shared_folder(spark, "bundle")
+    rows = table(spark, sf, "customer").select("c_custkey", F.concat_ws(" ", F.col("c_custkey").cast("string"), "c_name").alias("value"), F.col("c_nationkey").alias("nation"))
+    rows.repartition("nation").sortWithinPartitions("nation", "c_custkey").select("nation", "value").write.partitionBy("nation").text(folder)
+    found = job_documents.files(spark, folder).where(F.col("path").startswith("nation=")).withColumn("path", F.substring_index("path", "/", 1))
+    k = F.substring_index("path", "=", -1).cast("int") % 5
+    listed = found.where(k != 0).select("path", F.when(k == 1, "0").otherwise(F.col("sha256")).alias("sha256"))
+    made_up = found.where(k.isin(2, 3)).select(F.when(k == 2, F.concat("path", F.lit("/../x"))).otherwise(F.replace("path", F.lit("nation"), F.lit("lost"))).alias("path"), "sha256")
+    return job_documents.verified(listed.unionByName(made_up), found).join(found.select("path", "sha256", "size_bytes"), "path", "left")

@@ -70,3 +70,58 @@ def compared(manifested: DataFrame, found: DataFrame) -> DataFrame:
     both = manifested.join(found.select("path", F.col("sha256").alias("_found")), "path", "left")
     invalid = F.col("path").rlike(r"(^|/)\.\.(/|$)") | F.col("path").startswith("/")
     return both.select("path", F.when(invalid, "invalid path").when(F.col("_found").isNull(), "missing").when(F.col("_found") != F.col("sha256"), "checksum mismatch").alias("problem"))
+
+
+#: Markers of a JPEG that hold its size, segments that are looked at for one, and bytes of a file that are.
+_SIZED = ("FFC0", "FFC1", "FFC2", "FFC3", "FFC5", "FFC6", "FFC7", "FFC9", "FFCA", "FFCB", "FFCD", "FFCE", "FFCF")
+SEGMENTS, HEAD_BYTES = 64, 1 << 20
+
+
+def image_size(content: Column) -> Column:
+    """kind, width and height that the first bytes of a PNG, GIF or JPEG say; null for anything else, or if they end too early."""
+    head = F.substring(content, 1, HEAD_BYTES)
+    digits = lambda c, at, n: F.hex(F.substring(c, at, n))
+    number = lambda c, at, n: F.conv(digits(c, at, n), 16, 10).try_cast("int")
+    little = lambda c, at: number(c, at, 1) + number(c, at + 1, 1) * 256
+    size = lambda kind, width, height: F.struct(F.lit(kind).alias("kind"), width.alias("width"), height.alias("height"))
+
+    def jpeg(c: Column) -> Column:
+        start = F.struct(F.lit(3).alias("at"), F.lit(None).cast("int").alias("found"))
+
+        def step(s, _):
+            marker = digits(c, s["at"], 2)
+            hit = s["found"].isNull() & marker.isin(*_SIZED)
+            onward = F.when(marker.startswith("FF"), s["at"] + 2 + F.coalesce(number(c, s["at"] + 2, 2), F.lit(HEAD_BYTES))).otherwise(HEAD_BYTES)
+            return F.struct(F.when(s["found"].isNotNull() | hit, s["at"]).otherwise(onward).alias("at"), F.coalesce(s["found"], F.when(hit, s["at"])).alias("found"))
+
+        at = F.aggregate(F.sequence(F.lit(1), F.lit(SEGMENTS)), start, step)["found"]
+        return F.transform(F.array(at), lambda p: F.when(p.isNotNull(), size("jpeg", number(c, p + 7, 2), number(c, p + 5, 2))))[0]
+
+    one = lambda c: F.when(digits(c, 1, 8) == "89504E470D0A1A0A", size("png", number(c, 17, 4), number(c, 21, 4))).when(digits(c, 1, 4) == "47494638", size("gif", little(c, 7), little(c, 9))).when(digits(c, 1, 2) == "FFD8", jpeg(c))
+    found = F.transform(F.array(head), one)[0]
+    return F.when(found["width"].isNotNull() & found["height"].isNotNull(), found)
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """path (below the folder), sha256, size_bytes, and image (kind, width, height) of every file in a folder, read a file a row.
+
+    Spark's readers pass over files without bytes, so those are not told, and verified() finds them missing.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    below = F.substring_index(F.col("path"), root, -1)
+    return rows.select(below.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), image_size(F.col("content")).alias("image"))
+
+
+def verified(manifested: DataFrame, found: DataFrame) -> DataFrame:
+    """path and problem of a manifest's entries (path, sha256) and of the files found (path, sha256), by path.
+
+    invalid path (null, absolute, or leading upwards), missing, checksum mismatch, or extra (a file that the manifest lacks); null where
+    all is well. Entries that occur twice are told twice.
+    """
+    listed = manifested.select("path", F.col("sha256").alias("_listed"), F.lit(True).alias("_in"))
+    invalid = F.col("path").isNull() | F.col("path").startswith("/") | F.col("path").rlike(r"(^|/)\.\.(/|$)")
+    both = listed.join(found.select("path", F.col("sha256").alias("_found"), F.lit(True).alias("_there")), "path", "full_outer")
+    problem = F.when(F.col("_in").isNull(), "extra").when(invalid, "invalid path").when(F.col("_there").isNull(), "missing").when(~F.col("_found").eqNullSafe(F.col("_listed")), "checksum mismatch")
+    return both.select("path", problem.alias("problem")).orderBy("path")
