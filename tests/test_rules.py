@@ -27,6 +27,17 @@ def test_names_and_labels(spark):
     assert [tuple(r) for r in found] == [("t_2", "transition"), ("t_5", "transition")]
 
 
+def test_labels_of_many_lines_take_no_more_than_their_lines(spark):
+    import time
+
+    many = "\n".join(f"t_{i % 9000}: {'TRANSITION' if i % 7 else 'INCREMENTAL'}" for i in range(20_000))
+    each(spark, [many], text.labelled_lines)
+    began = time.time()
+    found = {x["key"]: x["label"] for x in each(spark, [many], text.labelled_lines)[0]}
+    assert time.time() - began < 10
+    assert len(found) == 9000 and all(found[f"t_{i % 9000}"] == ("transition" if i % 7 else "incremental") for i in range(11_000, 20_000))
+
+
 def test_arrays_in_text(spark):
     def plain(t):
         depth, start = 0, -1
