@@ -6,23 +6,15 @@ its sink holds. Checkpoints and sinks lie in the shared folder.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-
+from ..sources.tables import shared_folder
 
-def folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; where none is set, below a temporary one, which only a local session may use."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='tallyloom-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def source(spark: SparkSession, path: str, name: str = "events.parquet") -> DataFrame:
@@ -34,7 +26,7 @@ def source(spark: SparkSession, path: str, name: str = "events.parquet") -> Data
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What the stream gives once it has taken all that there is: all batches (append), or the last one (complete)."""
     spark = stream.sparkSession
-    at = folder(spark)
+    at = shared_folder(spark, "stream")
     write = stream.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
         run = write.format("parquet").option("path", f"{at}/rows").start()
