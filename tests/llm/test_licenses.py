@@ -59,3 +59,18 @@ def test_no_python_on_the_way(spark, documents, capsys):
     licenses.scan(documents).explain()
     said = capsys.readouterr().out
     assert "Python" not in said and "Arrow" not in said and "Pandas" not in said
+
+
+def test_texts_are_read_once(spark, documents, monkeypatch, capsys):
+    """The words of a text are taken in one pass, which all that follows reads as a table."""
+    calls, lowered = [], licenses.lowered
+    monkeypatch.setattr(licenses, "lowered", lambda text: calls.append(1) or lowered(text))
+    out = licenses.scan(documents)
+    out.explain()
+    said = capsys.readouterr().out
+    assert len(calls) == 1 and "regexp_extract_all" not in said and "split" not in said
+
+
+@pytest.mark.parametrize("text", ["", " ", "...", "a", " a ", ".a b.", "\n\ncc by\n", "cc  by-nc", "é ß", "İ.K"])
+def test_words_at_the_ends_of_texts(spark, text):
+    check(spark.createDataFrame([(1, text)], "doc_id long, text string"))
