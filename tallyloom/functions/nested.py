@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,19 +13,27 @@ FAST_PATH = 0.95
 CONTENT_TYPES = ("intro", "conceptual", "code_walkthrough", "demo_tutorial", "conclusion", "general")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is evaluated once for a row, however often `use` or its lambdas name it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def first_array(text: Column) -> Column:
     """The first balanced [...] of a text that begins at depth 0 (brackets in strings count, and so do closing ones before), else ''."""
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("begin"), F.lit(0).alias("end"))
 
-    def step(s, c):
-        at = s["at"] + 1
-        depth = s["depth"] + F.when(c == "[", 1).when(c == "]", -1).otherwise(0)
-        begin = F.when((c == "[") & (s["depth"] == 0), at).otherwise(s["begin"])
-        end = F.when((c == "]") & (depth == 0) & (s["begin"] > 0), at).otherwise(0)
-        return F.struct(at.alias("at"), F.when(s["end"] > 0, s["depth"]).otherwise(depth).alias("depth"), F.when(s["end"] > 0, s["begin"]).otherwise(begin).alias("begin"), F.when(s["end"] > 0, s["end"]).otherwise(end).alias("end"))
+    def step(s, piece):
+        at = s["at"] + F.length(piece)
+        opens, closes = piece.endswith("["), piece.endswith("]")
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        begin = F.when(opens & (s["depth"] == 0), at).otherwise(s["begin"])
+        end = F.when(closes & (depth == 0) & (s["begin"] > 0), at).otherwise(0)
+        told = F.struct(at.alias("at"), depth.alias("depth"), begin.alias("begin"), end.alias("end"))
+        return F.when(s["end"] > 0, s).otherwise(told)
 
-    found = F.aggregate(F.split(text, ""), start, step)
-    return F.when(found["end"] > 0, F.substring(text, found["begin"], found["end"] - found["begin"] + 1)).otherwise("")
+    # pieces that end with a bracket each, but for the last: a step for each bracket, not for each character
+    found = F.aggregate(F.split(text, r"(?<=[\[\]])"), start, step)
+    return once(found, lambda f: F.when(f["end"] > 0, F.substring(text, f["begin"], f["end"] - f["begin"] + 1)).otherwise(""))
 
 
 def sections(text: Column) -> Column:
@@ -31,7 +41,6 @@ def sections(text: Column) -> Column:
 
     Missing fields take defaults, explicit nulls stay null, but for the type, where all that is no type is general.
     """
-    found = F.from_json(first_array(text), "array<map<string, string>>")
     got = lambda s, name, default: F.when(F.map_contains_key(s, name), s[name]).otherwise(default)
     kind = lambda s: F.when(s["content_type"].isin(*CONTENT_TYPES), s["content_type"]).otherwise("general")
     none = F.array().cast("array<string>")
@@ -40,7 +49,8 @@ def sections(text: Column) -> Column:
         kind(s).alias("content_type"), got(s, "key_topics", F.lit("[]")).alias("topics"),
     )
     listed = lambda s: F.struct(*[s[c].alias(c) for c in ("title", "start_timestamp", "end_timestamp", "content_type")], F.when(s["topics"].isNotNull(), F.coalesce(F.from_json(s["topics"], "array<string>"), none)).alias("key_topics"))
-    return F.when((F.size(found) > 0) & F.forall(found, lambda s: s.isNotNull()), F.transform(F.transform(found, full), listed))
+    told = lambda found: F.when((F.size(found) > 0) & F.forall(found, lambda s: s.isNotNull()), F.transform(F.transform(found, full), listed))
+    return once(F.from_json(first_array(text), "array<map<string, string>>"), told)
 
 
 def subset(required: Column, offered: Column) -> Column:
