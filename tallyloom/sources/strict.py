@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import strip
+from .tables import written
 
 #: Words for what a kind wants, and the types of a variant that satisfy it.
 KINDS = {"text": ("a non-empty string", "STRING"), "whole": ("an integer", "BIGINT"), "number": ("a number", r"BIGINT|DOUBLE|DECIMAL.*"), "texts": ("a non-empty list of non-empty strings", r"ARRAY<.*"), "any": ("present", ".*"), "list": ("a list", r"ARRAY<.*")}
@@ -41,7 +42,8 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 def parsed(rows: DataFrame, line: str = "line") -> DataFrame:
     """rows with the line's variant as `v` (null if it is none) and `reason` (invalid JSON, duplicate key, not an object, or null)."""
     v = F.try_parse_json(line)
-    told = F.when(F.col("v").isNotNull(), F.when(~F.schema_of_variant("v").startswith("OBJECT"), "not an object"))
+    # of what is JSON, objects alone begin with a brace; the schema of a whole line would cost more than its parsing
+    told = F.when(F.col("v").isNotNull(), F.when(~F.col(line).rlike(r"^[\x20\t\r\n]*\{"), "not an object"))
     # a parser that lets the last of equal keys win reads what the variant's refuses
     twice = F.from_json(F.concat(F.lit('{"x":'), F.col(line), F.lit("}")), "x string")["x"].isNotNull() & F.get_json_object(line, "$").isNotNull()
     return rows.withColumn("v", v).withColumn("reason", F.when(F.col("v").isNull(), F.when(twice, "duplicate key").otherwise("invalid JSON")).otherwise(told))
@@ -166,10 +168,12 @@ def jobs(rows: DataFrame, existing: DataFrame | None = None, line: str = "line")
     job = _get(v, "job")
     reason = F.coalesce(reason, F.when(job.isNull() | F.schema_of_variant(job).isin("VOID", "OBJECT<>"), "missing job"))
     none = F.array().cast("array<variant>")
-    items = {part: F.coalesce(_get(v, part, "array<variant>"), none) for part in PARTS}
+    # a part is taken as a list once for each row
+    out = out.withColumn("_items", F.struct(*[_get(v, part, "array<variant>").alias(part) for part in PARTS]))
+    items = {part: F.coalesce(F.col("_items")[part], none) for part in PARTS}
     for part, names in PARTS.items():
         whole = _get(v, part)
-        reason = F.coalesce(reason, F.when(whole.isNotNull() & ~F.schema_of_variant(whole).startswith("ARRAY"), f"{part} must be a list"))
+        reason = F.coalesce(reason, F.when(whole.isNotNull() & F.col("_items")[part].isNull(), f"{part} must be a list"))
         reason = F.coalesce(reason, F.concat(F.lit(f"{part}: "), _lacks(items[part], names), F.lit(" is missing")))
     segments = F.flatten(F.transform(items["transcripts"], lambda t: F.coalesce(_get(t, "segments", "array<variant>"), none)))
     reason = F.coalesce(reason, F.concat(F.lit("segments: "), _lacks(segments, SEGMENT), F.lit(" is missing")))
@@ -183,10 +187,11 @@ def jobs(rows: DataFrame, existing: DataFrame | None = None, line: str = "line")
         empty("snapshots").alias("snapshots"), F.transform(empty("documents"), lambda d: d.withField("format", F.coalesce(d["format"], F.lit("markdown")))).alias("documents"),
         F.transform(empty("logs"), lambda x: x.withField("level", F.when(F.upper(x["level"]).isin(*LEVELS), F.upper(x["level"])).otherwise("INFO"))).alias("logs"),
     )
-    out = out.withColumn("job", F.when(F.col("reason").isNull(), full)).drop("v", "_b")
+    out = out.withColumn("job", F.when(F.col("reason").isNull(), full)).drop("v", "_b", "_items")
     if existing is not None:
         known = existing.select(F.col("video_id").alias("_known")).where("_known IS NOT NULL").distinct()
-        out = out.withColumn("_row", F.md5(line))  # rows of one line share their outcome
+        # rows of one line share their outcome; lines are read and parsed once, as both sides of the join read the written rows
+        out = written(out.withColumn("_row", F.md5(line)))
         twice = out.select("_row", F.explode("job.videos.video_id").alias("_known")).join(known, "_known", "left_semi").select("_row").distinct().withColumn("_twice", F.lit(True))
         out = out.join(twice, "_row", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_twice"), "video exists already")))
         out = out.withColumn("job", F.when(F.col("reason").isNull(), F.col("job"))).drop("_row", "_twice")

@@ -43,3 +43,19 @@ def test_jobs_from_gzip(spark, tmp_path):
     first = got[lines[0]]["job"]
     assert first["video_url"] == "u" and first["videos"] == first["transcripts"] == first["logs"] == [] and got[lines[2]]["job"] is None
     assert strict.jobs(rows.where("false")).count() == 0
+
+
+def test_lines_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    part = '{"export_version": "1.0", "job": {"video_url": "u"}, "videos": [{"url": "u", "video_id": "v%d", "title": "t"}]}'
+    lines = [(i, part % i) for i in range(6)] + [(6, " [1]"), (7, '\t{"a": 1}'), (8, "3"), (9, '{"export_version": "1.0", "job": {"video_url": "u"}, "videos": null}')]
+    rows = spark.createDataFrame(lines, "i int, line string").mapInArrow(run, "i int, line string")
+    out = {r["i"]: r["reason"] for r in strict.jobs(rows, spark.createDataFrame([("v1",), ("v4",), (None,)], "video_id string")).collect()}
+    assert read.value == len(lines)
+    assert out == {i: "video exists already" if i in (1, 4) else None for i in range(6)} | {6: "not an object", 7: "unsupported export version: none", 8: "not an object", 9: "videos must be a list"}
