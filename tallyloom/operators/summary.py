@@ -52,26 +52,29 @@ def sliced(transcript: Column, analyses: Column, images: Column) -> Column:
     after its end (else the text's end); chapter and image lines are left out. Its images are those in [start, end); an open or
     unreadable bound bounds nothing.
     """
-    lines = typed_lines(transcript)
-    stamps = F.filter(lines, lambda x: x["seconds"].isNotNull())
 
-    def one(a: Column) -> Column:
-        start, end = seconds(a["start_timestamp"]), F.when(a["end_timestamp"] != "END", seconds(a["end_timestamp"]))
+    def one(lines: Column, stamps: Column, a: Column, start: Column, end: Column) -> Column:
         first = lambda bound, other: F.when(bound.isNull(), other).otherwise(F.coalesce(F.try_element_at(F.filter(stamps, lambda x: x["seconds"] >= bound), F.lit(1))["at"], other))
-        low, high = first(start, F.lit(0)), first(end, F.size(lines))
-        kept = F.filter(F.slice(lines, low + 1, F.greatest(high - low, F.lit(0))), lambda x: ~x["kind"].isin("chapter", "image"))
+        held = lambda low: F.slice(lines, low + 1, F.greatest(first(end, F.size(lines)) - low, F.lit(0)))
+        kept = F.filter(nested.once(first(start, F.lit(0)), held), lambda x: ~x["kind"].isin("chapter", "image"))
         inside = F.filter(images, lambda s: (start.isNull() | (s["timestamp"] >= start)) & (end.isNull() | (s["timestamp"] < end)))
         return F.struct(a["title"].alias("title"), a["content_type"].alias("kind"), a["key_topics"].alias("topics"), text.strip(F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).alias("content"), inside.alias("images"))
 
-    return F.transform(analyses, one)
+    def every(lines: Column, stamps: Column) -> Column:
+        bounds = lambda a: F.struct(seconds(a["start_timestamp"]).alias("start"), F.when(a["end_timestamp"] != "END", seconds(a["end_timestamp"])).alias("end"))
+        return F.transform(analyses, lambda a: nested.once(bounds(a), lambda b: one(lines, stamps, a, b["start"], b["end"])))
+
+    # a text's lines, its stamps and a section's bounds are taken once, not where they are named
+    return nested.once(typed_lines(transcript), lambda lines: nested.once(F.filter(lines, lambda x: x["seconds"].isNotNull()), lambda stamps: every(lines, stamps)))
 
 
 def with_images(transcript: Column, images: Column) -> Column:
     """Lines of a transcript, each image after the line of the latest stamp not after it (the first of equals); others are left out."""
-    lines = typed_lines(transcript)
-    stamps = F.transform(F.filter(lines, lambda x: x["seconds"].isNotNull()), lambda x: F.struct(x["seconds"].alias("seconds"), (-x["at"]).alias("back")))
-    placed = F.transform(images, lambda s: F.struct((-F.array_max(F.filter(stamps, lambda x: x["seconds"] <= s["timestamp"]))["back"]).alias("at"), _image(s).alias("line")))
-    return F.flatten(F.transform(lines, lambda x: F.concat(F.array(x["line"]), F.transform(F.filter(placed, lambda p: p["at"] == x["at"]), lambda p: p["line"]))))
+    stamped = lambda lines: F.transform(F.filter(lines, lambda x: x["seconds"].isNotNull()), lambda x: F.struct(x["seconds"].alias("seconds"), (-x["at"]).alias("back")))
+    put = lambda stamps: F.transform(images, lambda s: F.struct((-F.array_max(F.filter(stamps, lambda x: x["seconds"] <= s["timestamp"]))["back"]).alias("at"), _image(s).alias("line")))
+    shown = lambda lines, placed: F.flatten(F.transform(lines, lambda x: F.concat(F.array(x["line"]), F.transform(F.filter(placed, lambda p: p["at"] == x["at"]), lambda p: p["line"]))))
+    # lines are typed once and images placed once for a text, not for each line
+    return nested.once(typed_lines(transcript), lambda lines: nested.once(nested.once(stamped(lines), put), lambda placed: shown(lines, placed)))
 
 
 def header(title: Column, url: Column, kind: Column) -> Column:
@@ -111,7 +114,8 @@ def two_pass(transcripts: DataFrame, images: DataFrame | None, key: str, answer:
     told = written(told.withColumn("two", F.coalesce(usable, F.lit(False))))
 
     named = F.transform("analyses", lambda a: F.concat(F.coalesce(a["title"], F.lit("None")), F.lit(" ("), a["content_type"], F.lit(")")))
-    sections = told.where("two").select(key, F.concat(F.lit("Part of: "), F.array_join(named, "; ")).alias("context"), F.posexplode(sliced(F.col("text"), F.col("analyses"), F.col("images"))).alias("position", "s"))
+    # outer explodes: from others Catalyst infers filters that take the sections again
+    sections = told.where("two").select(key, F.concat(F.lit("Part of: "), F.array_join(named, "; ")).alias("context"), F.posexplode_outer(sliced(F.col("text"), F.col("analyses"), F.col("images"))).alias("position", "s")).where("s IS NOT NULL")
     sections = sections.select(key, "position", "context", "s.*").withColumn("title", F.coalesce("title", F.lit("None")))
     asked = F.lit(instructions["general"])
     for kind, words in instructions.items():
@@ -123,7 +127,7 @@ def two_pass(transcripts: DataFrame, images: DataFrame | None, key: str, answer:
     shown = F.when(F.size("images") > 0, F.concat(F.lit("\n\n"), F.array_join(F.transform("images", _image), "\n"))).otherwise("")
     parts = parts.select(key, "position", F.concat(F.lit("## "), "title", F.lit("\n\n"), "summary", shown).alias("part"))
 
-    single = told.where("NOT two").select(key, F.posexplode(marked_sections(with_images(F.col("text"), F.col("images")))).alias("position", "s")).select(key, "position", "s.type", "s.content")
+    single = told.where("NOT two").select(key, F.posexplode_outer(marked_sections(with_images(F.col("text"), F.col("images")))).alias("position", "s")).where("s IS NOT NULL").select(key, "position", "s.type", "s.content")
     single = written(single)
     texts = single.where("type = 'text'")
     texts = texts.select(key, "position").join(summarised(texts, [key, "position"], F.concat(F.lit(plain + BODY), "content"), "content", answer).withColumnRenamed("summary", "part"), [key, "position"])

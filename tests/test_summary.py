@@ -126,3 +126,11 @@ def test_lines_are_read_once(spark):
     count()
     began = time.time()
     assert count() == 20_000 and time.time() - began < 5
+
+
+def test_lines_are_typed_once(spark):
+    """However often the rules name a text's lines: they are split in one place of the plan, outside of what is done for each line."""
+    rows = spark.createDataFrame([("x", [{"title": "t"}])], "text string, analyses array<map<string, string>>")
+    plan = lambda column: rows.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("split(text")
+    images = F.array().cast(summary.IMAGES)
+    assert plan(summary.sliced(F.col("text"), F.col("analyses"), images)) == 1 and plan(summary.with_images(F.col("text"), images)) == 1
