@@ -14,17 +14,23 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stemming import STOP_WORDS, stem
 from ..sources.tables import shared_folder
 
 BUCKETS = 64
+#: The bucket of the rows that tell each text's number of words.
+TEXTS = -1
+#: Postings are made of so many words at once, and those of one text more.
+BLOCK_WORDS = 500_000
 #: Saturation and length normalisation of the rank (BM25).
 K1, B = 1.2, 0.75
 
@@ -46,6 +52,11 @@ class Index:
     texts: DataFrame
     config: str
 
+    @cached_property
+    def total(self) -> Row:
+        """Number of texts and mean number of their words, counted once for all searches."""
+        return self.texts.agg(F.count("*").alias("texts"), F.avg("n").alias("mean")).first()
+
 
 @dataclass
 class Operand:
@@ -81,40 +92,68 @@ def parsed(query: str, config: str = "english") -> Search:
     return Search([b for b in branches if b])
 
 
-def postings(docs: DataFrame, key: str, text: str, config: str = "english") -> DataFrame:
-    """term, key, positions (from 0) and n (words of the text) for each term of each text; null texts have none. Keys are longs."""
+def _block(keys: pa.Array, counts: list[int], words: list[str], config: str) -> Iterator[pa.RecordBatch]:
+    """Postings of some texts' words (counts: how many each text has), and for each text a row without a term."""
+    n, coded = np.array(counts, np.int32), pa.array(words, pa.string()).dictionary_encode()
+    terms: dict[str, int] = {}
+    held = (lexeme(w, config) for w in coded.dictionary.to_pylist())  # each word's lexeme is sought once
+    number = np.array([-1 if t is None else terms.setdefault(t, len(terms)) for t in held], np.int64)
+    term = number[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
+    group = term * len(n) + np.repeat(np.arange(len(n)), n)
+    at = (np.arange(len(words)) - np.repeat(np.cumsum(n, dtype=np.int64) - n, n)).astype(np.int32)
+    kept = np.flatnonzero(term >= 0)
+    kept = kept[np.argsort(group[kept], kind="stable")]
+    group = group[kept]
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    row = pa.array(group[first] % len(n))
+    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(group)).astype(np.int32)), pa.array(at[kept]))
+    spelled = pa.array(list(terms), pa.string()).take(pa.array(group[first] // len(n)))
+    yield pa.RecordBatch.from_arrays([spelled, keys.take(row), places, pa.array(n).take(row)], ["term", "key", "positions", "n"])
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.string()), keys, pa.nulls(len(n), places.type), pa.array(n)], ["term", "key", "positions", "n"])
+
+
+def _rows(docs: DataFrame, key: str, text: str, config: str) -> DataFrame:
+    """Postings of all texts, and a row without a term or positions for each text."""
 
     def run(batches):
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at: dict[str, list[int]] = {}
-                n = 0
-                for n, m in enumerate(_RUN.finditer((t or "").lower()), 1):
-                    term = lexeme(m.group(), config)
-                    if term is not None:
-                        at.setdefault(term, []).append(n - 1)
-                if at:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(at)), pa.array([i] * len(at), pa.int64()), pa.array(list(at.values()), pa.list_(pa.int32())), pa.array([n] * len(at), pa.int32())], ["term", "key", "positions", "n"])
+            low, counts, words = 0, [], []
+            for i, t in enumerate(batch.column(1)):
+                found = _RUN.findall((t.as_py() or "").lower())
+                words += found
+                counts.append(len(found))
+                if len(words) >= BLOCK_WORDS:
+                    yield from _block(batch.column(0)[low : i + 1], counts, words, config)
+                    low, counts, words = i + 1, [], []
+            if counts:
+                yield from _block(batch.column(0)[low:], counts, words, config)
 
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, "term string, key long, positions array<int>, n int")
 
 
+def postings(docs: DataFrame, key: str, text: str, config: str = "english") -> DataFrame:
+    """term, key, positions (from 0) and n (words of the text) for each term of each text; null texts have none. Keys are longs."""
+    return _rows(docs, key, text, config).where("term IS NOT NULL")
+
+
 def index(docs: DataFrame, key: str, text: str, config: str = "english", path: str | None = None) -> Index:
-    """Writes the index of docs to a folder (a new shared one by default) and opens it. Keys should be unique."""
+    """Writes the index of docs to a folder (a new shared one by default) and opens it. Keys should be unique.
+
+    Texts are read once. A bucket's rows are dealt by a hash of the key too, as ranges would need the postings twice, first for a sample.
+    """
     spark = docs.sparkSession
     path = path or shared_folder(spark, "fulltext")
-    rows = postings(docs, key, text, config).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-    rows.repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term", "key").write.partitionBy("bucket").parquet(f"{path}/postings")
-    runs = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(r"[\p{L}\p{N}]+"))
-    docs.select(F.col(key).cast("long").alias("key"), runs.alias("n")).write.parquet(f"{path}/texts")
+    shares = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    bucket = F.when(F.col("term").isNull(), TEXTS).otherwise(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+    rows = _rows(docs, key, text, config).withColumn("bucket", bucket)
+    rows = rows.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(shares))).sortWithinPartitions("bucket", "term", "key")
+    rows.write.partitionBy("bucket").parquet(f"{path}/postings")
     return opened(spark, path, config)
 
 
 def opened(spark: SparkSession, path: str, config: str = "english") -> Index:
-    return Index(
-        spark.read.schema("term string, key long, positions array<int>, n int, bucket int").parquet(f"{path}/postings"),
-        spark.read.schema("key long, n int").parquet(f"{path}/texts"), config,
-    )
+    rows = spark.read.schema("term string, key long, positions array<int>, n int, bucket int").parquet(f"{path}/postings")
+    return Index(rows.where(F.col("bucket") != TEXTS), rows.where(F.col("bucket") == TEXTS).select("key", "n"), config)
 
 
 def of_terms(index: Index, terms: list[str]) -> DataFrame:
@@ -148,7 +187,7 @@ def search(index: Index, query: str) -> DataFrame:
     if not wanted.branches:
         return index.texts.select("key", F.lit(0.0).alias("rank")).where("false")
     rows = of_terms(index, wanted.terms())
-    total = index.texts.agg(F.count("*").alias("texts"), F.avg("n").alias("mean")).first()
+    total = index.total
     held = {r["term"]: r["df"] for r in rows.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each term of the query
     # as many rows for a text as the query has terms
     texts = rows.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("places"), F.first("n").alias("n"))

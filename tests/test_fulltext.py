@@ -90,3 +90,25 @@ def test_english_searches_equal_brute_force(spark, sf):
         expected |= {(n, d) for d, words in texts.items() if any(all(holds(words, o) for o in b) for b in branches)}
     rows = QUERIES["full_text_search_english"](spark, sf).collect()
     assert {(r["search"], r["doc_id"]) for r in rows} == expected and len(rows) == len(expected) > 0
+
+
+def test_texts_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(i, "a b a" * (i % 3)) for i in range(50)], "id long, body string").mapInArrow(run, "id long, body string")
+    index = fulltext.index(docs, "id", "body", "simple")
+    assert read.value == 50 and index.texts.count() == 50 and index.total["texts"] == 50
+
+
+def test_blocks_of_words_change_nothing(spark, monkeypatch):
+    texts = [(1, "b x b"), (2, None), (2, "x"), (None, "the x"), (4, ""), (5, "c the b x")]
+    docs = spark.createDataFrame(texts, "id long, body string").coalesce(1)
+    expected = sorted([("b", 1, [0, 2], 3), ("x", 1, [1], 3), ("x", 2, [0], 1), ("x", None, [1], 2), ("c", 5, [0], 4), ("b", 5, [2], 4), ("x", 5, [3], 4)], key=str)
+    for most in (1, 4, 500_000):
+        monkeypatch.setattr(fulltext, "BLOCK_WORDS", most)
+        assert sorted(map(tuple, fulltext.postings(docs, "id", "body").collect()), key=str) == expected
